@@ -167,7 +167,7 @@ def price_gap(predicted: Column, listed: Column) -> Column:
     """Difference in % of the listed price, and its wording."""
     diff = predicted - listed
     pct = F.round(F.try_divide(diff * 100.0, listed), 1)
-    shown = F.format_number(F.abs(pct), "0.0")
+    shown = F.format_string("%.1f", F.abs(pct))
     return F.struct(
         pct.alias("gap_pct"),
         F.when(diff > 0, F.concat(F.lit("+"), shown, F.lit("% above market")))

@@ -10,7 +10,7 @@ from hearthline.operators import text_terms
 from hearthline.plans.catalog import query
 from hearthline.plans.tables import LISTINGS_SQL, listings, table
 
-WORDS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), w -> w <> '')"
+WORDS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 
 
 @query("text_clean", r"""
@@ -23,10 +23,10 @@ def _clean(spark, sf):
 @query("text_metrics", rf"""
 WITH d AS (SELECT doc_id, text, {WORDS_SQL} AS w FROM documents)
 SELECT doc_id, length(text) AS n_chars, len(w) AS n_words,
-       round(coalesce(list_sum(list_transform(w, x -> length(x))) / nullif(len(w), 0), 0), 6) AS avg_word_length,
+       round(coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 6) AS avg_word_length,
        round(coalesce(length(regexp_replace(text, '[^.,!?;:]', '', 'g')) / nullif(length(text), 0), 0), 6) AS punctuation_density,
        round(len(w) / greatest(len(regexp_extract_all(text, '[.!?]+')), 1)
-             + coalesce(list_sum(list_transform(w, x -> length(x))) / nullif(len(w), 0), 0), 6) AS readability
+             + coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 6) AS readability
 FROM d""")
 def _metrics(spark, sf):
     t = F.col("text")
@@ -76,7 +76,7 @@ def _stored(spark, sf):
 
 @query("phones", rf"""
 SELECT doc_id, list_aggregate(list_sort(list_distinct(list_transform(
-       regexp_extract_all(text, '(?:\+?216[-.\s]?)?(?:\d{{2}}[-.\s]?\d{{3}}[-.\s]?\d{{3,4}}|\d{{8}})'), x -> trim(x)))), 'string_agg', '|') AS phones
+       regexp_extract_all(text, '(?:\+?216[-.\s]?)?(?:\d{{2}}[-.\s]?\d{{3}}[-.\s]?\d{{3,4}}|\d{{8}})'), lambda x: trim(x)))), 'string_agg', '|') AS phones
 FROM documents WHERE regexp_matches(text, '\d{{2}}[-.\s]?\d{{3}}[-.\s]?\d{{3}}')""")
 def _phones(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", text.phones(F.col("text")).alias("p"))
@@ -85,7 +85,7 @@ def _phones(spark, sf):
 
 @query("description_lines", r"""
 SELECT doc_id, len(l) AS n_lines, l[1] AS first_line, array_to_string(l, ' ') AS flat
-FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), '<br/>'), '(?i)<br\s*/?>', chr(10), 'g'), chr(10)), x -> trim(regexp_replace(x, '<[^>]*>', '', 'g'))), x -> x <> '') AS l FROM documents)""")
+FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), '<br/>'), '(?i)<br\s*/?>', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: x <> '') AS l FROM documents)""")
 def _lines(spark, sf):
     html = F.replace("text", F.lit("\n"), F.lit("<br/>"))
     return table(spark, sf, "documents").select("doc_id", text.description_lines(html).alias("l")).select(
@@ -99,7 +99,7 @@ def _preview(spark, sf):
 
 
 @query("array_head", r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), w -> w <> '') AS w FROM documents)
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents)
 SELECT doc_id, array_to_string(w[1:6], ' ') AS head, greatest(len(w) - 6, 0) AS more FROM d""")
 def _head(spark, sf):
     headed = table(spark, sf, "documents").select("doc_id", labels.array_head(text.words(F.col("text"))).alias("h"))
