@@ -49,7 +49,6 @@ SERVING_FEATURES = [
 # --- fixed values: null tokens, categories -------------------------------------------------
 
 NULL_TOKENS = ["nan", "null", "none", "n/a", "na"]
-PRICE_NULL_TOKENS = ["nan", "null", "none"]
 
 UNWANTED_PROPERTY_TYPES = [
     "Terrain", "Local commercial", "Bureau", "Surfaces", "Autre", "Terrain nu",

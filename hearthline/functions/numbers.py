@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from hearthline import constants as K
-from hearthline.functions.text import UNICODE, strip
+from hearthline.functions.text import UNICODE
 
 
-def _number_text(c: Column, tokens: list[str]) -> Column:
-    """Commas and spaces removed; null tokens and blanks become null before any cast."""
-    text = strip(F.translate(c.cast("string"), ", ", ""))
-    return F.when(~F.lower(text).isin("", *tokens), text)
+# One capture and one cast: null tokens, blanks and 'nan' do not match, so they become null, and the
+# expression stays small when filters on it are pushed down and repeated.
+_NUMBER = r"(?U)^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$"
 
 
-def clean_number(c: Column, tokens: list[str] = K.PRICE_NULL_TOKENS) -> Column:
-    """Text to double; null tokens, blanks and unparseable text become null."""
-    value = _number_text(c, tokens).try_cast("double")
-    return F.when(~F.isnan(value), value)
+def clean_number(c: Column) -> Column:
+    """Text to double, commas and spaces removed; null tokens, blanks and other text become null."""
+    return F.regexp_extract(F.translate(c.cast("string"), ", ", ""), _NUMBER, 1).try_cast("double")
 
 
 def clean_price(c: Column, low: float = K.PRICE_RANGE[0], high: float = K.PRICE_RANGE[1]) -> Column:
@@ -28,9 +26,7 @@ def clean_price(c: Column, low: float = K.PRICE_RANGE[0], high: float = K.PRICE_
 
 def safe_float(c: Column, default: float = 0.0) -> Column:
     """Serving form: anything unusable becomes the default; separators are not stripped."""
-    text = c.cast("string")
-    value = F.when(~text.isin("nan", ""), strip(text)).try_cast("double")
-    return F.coalesce(F.when(~F.isnan(value), value), F.lit(default))
+    return F.coalesce(F.regexp_extract(c.cast("string"), _NUMBER, 1).try_cast("double"), F.lit(default))
 
 
 def safe_int(c: Column, default: int = 0) -> Column:
@@ -61,8 +57,7 @@ def first_number(c: Column) -> Column:
 
 def answer_number(c: Column) -> Column:
     """Number answered in free form: commas stripped, else null."""
-    value = strip(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), _NUMBER, 1).try_cast("double")
 
 
 def digit_string_int(c: Column) -> Column:

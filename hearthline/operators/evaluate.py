@@ -45,8 +45,9 @@ def price_band(c: Column, bands: str = "small") -> Column:
 
 
 def metrics_by_band(df: DataFrame, actual: str, predicted: str, bands: str = "small") -> DataFrame:
-    banded = df.withColumn("price_band", price_band(F.col(actual), bands)).where(F.col("price_band").isNotNull())
-    return regression_metrics(banded, actual, predicted, ["price_band"])
+    low, high = K.PRICE_BANDS[bands][0][0], K.PRICE_BANDS[bands][-1][1]
+    inside = df.where(F.col(actual) >= low if high is None else (F.col(actual) >= low) & (F.col(actual) < high))
+    return regression_metrics(inside.withColumn("price_band", price_band(F.col(actual), bands)), actual, predicted, ["price_band"])
 
 
 def residual_summary(df: DataFrame, actual: str, predicted: str) -> DataFrame:

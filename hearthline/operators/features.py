@@ -63,8 +63,13 @@ def market_features(df: DataFrame) -> DataFrame:
 
 
 def batch_features(df: DataFrame, n_types: int = 10, n_governorates: int = 8, **location) -> DataFrame:
-    """The whole batch feature set of a cleaned listing table with a text description."""
-    out = market_features(text_features(location_features(size_features(df), **location)))
+    """The whole batch feature set of a cleaned listing table with a text description.
+
+    When the text features are there already (computed where the texts live, before a join spreads
+    copies of them), they are used as they are.
+    """
+    located = location_features(size_features(df), **location)
+    out = market_features(located if "luxury_score" in df.columns else text_features(located))
     out = indicator_features(out, "property_type", "is_", n_types)
     return indicator_features(out, "governorate_clean", "gov_", n_governorates)
 

@@ -112,6 +112,18 @@ def zscore_flag(df: DataFrame, c: str, limit: float = 3.0, out: str = "zscore_ou
     return df.withColumn(out, F.abs(F.col(c) - mean) > limit * std)
 
 
+def outlier_flags(df: DataFrame, c: str, low: float = 0.01, high: float = 0.99, z: float = 3.0) -> DataFrame:
+    """The percentile, IQR and z-score flags together, with one quantile pass and one moment pass."""
+    p_lo, q1, q3, p_hi = quantile_values(df, [c], [low, 0.25, 0.75, high])[c]
+    if q1 is None:
+        return df.withColumns({n: F.lit(None).cast("boolean") for n in ("outside_percentiles", "iqr_outlier", "zscore_outlier")})
+    spread = 1.5 * (q3 - q1)
+    return zscore_flag(df, c, z).withColumns({
+        "outside_percentiles": (F.col(c) < p_lo) | (F.col(c) > p_hi),
+        "iqr_outlier": (F.col(c) < q1 - spread) | (F.col(c) > q3 + spread),
+    })
+
+
 def mean_pivot(df: DataFrame, value: str, row: str, column: str, values: list) -> DataFrame:
     """Mean of a value as a 2-D table; the pivot values are given, so no extra pass finds them."""
     return df.groupBy(row).pivot(column, values).agg(F.avg(value))

@@ -8,7 +8,7 @@ from hearthline import constants as K
 from hearthline.functions import scores
 from hearthline.operators import features, stats
 from hearthline.plans.catalog import query
-from hearthline.plans.tables import CLEAN_SQL, LISTINGS_SQL, clean_listings, described_listings, listings
+from hearthline.plans.tables import CLEAN_SQL, LISTINGS_SQL, clean_listings, described_listings, listings, table
 
 MAJOR = ["NATION_0", "NATION_3", "NATION_7"]
 COAST = ["NATION_3", "NATION_5", "NATION_9", "NATION_11"]
@@ -148,7 +148,10 @@ SELECT listing_id, {' + '.join(f'f_{k}' for k in K.AMENITY_KEYWORDS)} AS luxury_
        CAST(contains(t, 'bon état') OR contains(t, 'good condition') OR contains(t, 'bien entretenu') AS INT) AS is_good_condition,
        length(t) AS description_length FROM g""")
 def _batch(spark, sf):
-    df = features.batch_features(described_listings(spark, sf))
+    docs = features.text_features(table(spark, sf, "documents"), "text").drop("text", "description_clean", "lang", "source", "n_chars")
+    n_docs = table(spark, sf, "documents").agg(F.count("*")).scalar()
+    keyed = clean_listings(spark, sf).withColumn("doc_id", F.col("listing_id") % n_docs)
+    df = features.batch_features(keyed.join(docs, "doc_id").drop("doc_id"))
     return df.select("listing_id", "luxury_score", "has_garden", "has_luxury", "is_good_condition", F.col("description_length").cast("bigint").alias("description_length"))
 
 

@@ -92,8 +92,7 @@ q AS (SELECT quantile_cont(price, 0.01) AS p1, quantile_cont(price, 0.99) AS p99
 SELECT listing_id, price < p1 OR price > p99 AS outside_percentiles, price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) AS iqr_outlier, abs(price - m) > 1.5 * s AS zscore_outlier FROM c, q""")
 def _outliers(spark, sf):
     df = clean_listings(spark, sf).select("listing_id", "price").where(F.col("price").isNotNull())
-    flagged = stats.zscore_flag(stats.iqr_flag(stats.percentile_flag(df, "price"), "price"), "price", 1.5)
-    return flagged.drop("price")
+    return stats.outlier_flags(df, "price", z=1.5).drop("price")
 
 
 @query("drop_correlated_features", f"""

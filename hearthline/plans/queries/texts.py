@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthline import constants as K
 from hearthline.functions import dates, labels, money, place, text, urls
-from hearthline.operators import text_terms
+from hearthline.operators import similar, text_terms
 from hearthline.plans.catalog import query
 from hearthline.plans.tables import LISTINGS_SQL, listings, table
 
@@ -223,3 +223,13 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) A
 def _tfidf(spark, sf):
     terms = text_terms.tfidf(table(spark, sf, "documents"), "doc_id", "text", 100)
     return terms.withColumn("weight", F.round("weight", 5))
+
+
+@query("near_duplicates", r"""
+WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}')) AS w FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
+o AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND b.doc_id < a.doc_id GROUP BY 1, 2),
+d AS (SELECT DISTINCT o.doc_id FROM o JOIN n x ON x.doc_id = o.doc_id JOIN n y ON y.doc_id = o.other WHERE 5 * c > 4 * (x.n + y.n - c))
+SELECT doc_id, doc_id IN (SELECT doc_id FROM d) AS is_duplicate FROM documents""")
+def _near(spark, sf):
+    return similar.near_duplicates(table(spark, sf, "documents"), "doc_id", "text")

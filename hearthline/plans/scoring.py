@@ -18,12 +18,14 @@ def fit_serving_model(listings: DataFrame, target: str = "price", seed: int = 42
     leaky = ("price_per_sqm", "market_segment_")
     names = [c for c in K.SERVING_FEATURES if include_leaky or not c.startswith(leaky)]
     rows = serving_features(listings.withColumn("__target", F.col(target).cast("double")), keep=["__target"])
-    known = rows.where(F.col("__target").isNotNull())
+    known = rows.where(F.col("__target").isNotNull()).persist()
     forest = {"numTrees": 50, "maxDepth": 10, **forest}
-    return Pipeline(stages=[
+    model = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
         RandomForestRegressor(labelCol="__target", featuresCol="features", seed=seed, **forest),
     ]).fit(known)
+    known.unpersist()
+    return model
 
 
 def predict(listings: DataFrame, model: PipelineModel | None, key: str) -> DataFrame:

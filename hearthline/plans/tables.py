@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthline.functions.numbers import clean_number, clean_price
+from hearthline.functions.numbers import clean_price
 
 LISTINGS_SQL = """
 SELECT o_orderkey AS listing_id,
@@ -64,9 +64,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with the cleaned ``price``."""
-    raw = listings(spark, sf_dir)
-    return raw.withColumn("price", clean_price(F.col("raw_price"))).withColumns(
-        {c: clean_number(F.col(c)) for c in ("living_area", "land_area")})
+    return listings(spark, sf_dir).withColumn("price", clean_price(F.col("raw_price")))
 
 
 def predicted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
