@@ -37,8 +37,7 @@ def is_empty(c: Column, kind: str = "text") -> Column:
 
 def description_hash(c: Column) -> Column:
     """First 16 hex digits of the md5 of the lower-cased, space-collapsed text; '' when empty."""
-    normal = clean_text(F.lower(c))
-    return F.when(normal.isNull(), F.lit("")).otherwise(F.substring(F.md5(normal), 1, 16))
+    return F.coalesce(F.substring(F.md5(clean_text(F.lower(c))), 1, 16), F.lit(""))
 
 
 def description_lines(html: Column) -> Column:
@@ -74,17 +73,20 @@ def fix_description(c: Column) -> Column:
                   K.MOJIBAKE_FIXES, base)
 
 
+def _spaces(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, " ", ""))
+
+
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """Whitespace-separated words; the separators of the cleaned text are counted, no array is built."""
+    return F.coalesce(_spaces(clean_text(c)) + 1, F.lit(0))
 
 
 def avg_word_length(c: Column) -> Column:
-    """Mean characters per word, 0 for no words.
-
-    Letters in words are all the non-space characters, so no per-word pass is needed.
-    """
-    letters = F.length(F.regexp_replace(c, UNICODE + r"\s+", ""))
-    return F.coalesce(F.try_divide(letters.cast("double"), word_count(c)), F.lit(0.0))
+    """Mean characters per word, 0 for no words."""
+    clean = clean_text(c)
+    letters = F.length(F.translate(clean, " ", ""))
+    return F.coalesce(F.try_divide(letters.cast("double"), _spaces(clean) + 1), F.lit(0.0))
 
 
 def punctuation_density(c: Column) -> Column:

@@ -241,12 +241,6 @@ def box_stats(df: DataFrame, c: str, by: list[str]) -> DataFrame:
     )
 
 
-def source_stats(df: DataFrame, source: str, kept: Column) -> DataFrame:
-    """Loaded, kept and duplicate rows per source."""
-    return df.groupBy(source).agg(
-        F.count("*").alias("n_loaded"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_duplicates"))
-
-
 def token_cost(df: DataFrame, tokens_per_row: int = 800, price_per_1000: float = 0.0001) -> DataFrame:
     """Rows to send out, their tokens and the estimated cost."""
     return df.agg(F.count("*").alias("n_requests")).withColumn(

@@ -58,8 +58,7 @@ WITH f AS (SELECT source, h = '' OR row_number() OVER (PARTITION BY h ORDER BY d
 SELECT source, count(*) AS n_loaded, count(*) FILTER (is_first) AS n_kept, count(*) FILTER (NOT is_first) AS n_duplicates FROM f GROUP BY 1""")
 def _source_stats(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", text.description_hash(F.col("text")).alias("h"))
-    flagged = dedupe.first_flags(docs, F.col("h"), "doc_id", F.col("h") == "")
-    return profile.source_stats(flagged, "source", F.col("is_first"))
+    return dedupe.combine_stats(docs, "source", "h", "doc_id", F.col("h") == "")
 
 
 @query("union_sources", """

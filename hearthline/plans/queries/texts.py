@@ -214,7 +214,7 @@ def _thousands(spark, sf):
 
 
 @query("tfidf_top_terms", r"""
-WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}')) AS term FROM documents),
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
 vocab AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 100),
 n AS (SELECT count(*) AS n FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(df) AS df FROM tok JOIN vocab USING (term) GROUP BY 1, 2),
@@ -226,7 +226,7 @@ def _tfidf(spark, sf):
 
 
 @query("near_duplicates", r"""
-WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}')) AS w FROM documents),
+WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM documents),
 n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
 o AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND b.doc_id < a.doc_id GROUP BY 1, 2),
 d AS (SELECT DISTINCT o.doc_id FROM o JOIN n x ON x.doc_id = o.doc_id JOIN n y ON y.doc_id = o.other WHERE 5 * c > 4 * (x.n + y.n - c))

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 from hearthline import constants as K
 from hearthline.functions import numbers, scores
 from hearthline.operators.features import serving_features
+from hearthline.plans.training import balanced
 
 
-def fit_serving_model(listings: DataFrame, target: str = "price", seed: int = 42, include_leaky: bool = False, **forest) -> PipelineModel:
+def fit_serving_model(listings: DataFrame, key: str, target: str = "price", seed: int = 42, include_leaky: bool = False, **forest) -> PipelineModel:
     """Random forest on the serving features. Price-derived inputs are left out unless asked for."""
     leaky = ("price_per_sqm", "market_segment_")
     names = [c for c in K.SERVING_FEATURES if include_leaky or not c.startswith(leaky)]
-    rows = serving_features(listings.withColumn("__target", F.col(target).cast("double")), keep=["__target"])
-    known = rows.where(F.col("__target").isNotNull()).persist()
+    known = listings.withColumn("__target", F.col(target).cast("double")).where(F.col("__target").isNotNull())
+    known = serving_features(balanced(known, key), keep=["__target"]).persist()
     forest = {"numTrees": 50, "maxDepth": 10, **forest}
     model = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
