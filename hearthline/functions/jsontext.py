@@ -6,7 +6,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Worker functions travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -16,7 +16,7 @@ _SHALLOW = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 _SHALLOW_ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\][^\[\]]*+)*+\]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_balanced(texts: pd.Series) -> pd.Series:
     """First substring with balanced braces, any depth; linear in the text."""
 

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hearthline import constants as K
 from hearthline.operators.ranking import ranked_values
@@ -99,7 +99,7 @@ def wide_predictions(df: DataFrame, key: str, models: list[str], n: int = 5) ->
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(NormalDist().inv_cdf)
 

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hearthline.functions.text import strip
 from hearthline.functions.urls import normalize_keep_query
@@ -24,7 +24,7 @@ META_NAMES = ["description", "og:description", "og:title", "twitter:description"
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html_lib.unescape, na_action="ignore")
 

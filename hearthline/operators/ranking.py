@@ -31,7 +31,7 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 def _ranges(df: DataFrame, value: str, ranges: int) -> DataFrame:
     """Adds ``__range``: index of the value range; equal values always share a range."""
     grid = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(value, grid, ranges * 20)).first()[0] or []
+    edges = df.agg(F.percentile_approx(value, grid, ranges * 20)).first()[0] or [0.0]
     splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
     return Bucketizer(
         splits=splits, inputCol=value, outputCol="__range", handleInvalid="skip"
