@@ -8,14 +8,14 @@ from hearthline import constants as K
 from hearthline.functions.text import UNICODE
 
 
-# One capture and one cast: null tokens, blanks and 'nan' do not match, so they become null, and the
-# expression stays small when filters on it are pushed down and repeated.
-_NUMBER = r"(?U)^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$"
+# Letters that Java's number parser would accept (5d, 0x1p3, NaN, Infinity) become '#', so such
+# text fails the cast. One translate and one cast stay cheap when a pushed-down filter repeats them.
+_LETTERS, _BLOCKED = "dDfFxXnNiI", "##########"
 
 
 def clean_number(c: Column) -> Column:
     """Text to double, commas and spaces removed; null tokens, blanks and other text become null."""
-    return F.regexp_extract(F.translate(c.cast("string"), ", ", ""), _NUMBER, 1).try_cast("double")
+    return F.translate(c.cast("string"), _LETTERS + ", ", _BLOCKED).try_cast("double")
 
 
 def clean_price(c: Column, low: float = K.PRICE_RANGE[0], high: float = K.PRICE_RANGE[1]) -> Column:
@@ -26,7 +26,7 @@ def clean_price(c: Column, low: float = K.PRICE_RANGE[0], high: float = K.PRICE_
 
 def safe_float(c: Column, default: float = 0.0) -> Column:
     """Serving form: anything unusable becomes the default; separators are not stripped."""
-    return F.coalesce(F.regexp_extract(c.cast("string"), _NUMBER, 1).try_cast("double"), F.lit(default))
+    return F.coalesce(F.translate(c.cast("string"), _LETTERS, _BLOCKED).try_cast("double"), F.lit(default))
 
 
 def safe_int(c: Column, default: int = 0) -> Column:
@@ -57,7 +57,7 @@ def first_number(c: Column) -> Column:
 
 def answer_number(c: Column) -> Column:
     """Number answered in free form: commas stripped, else null."""
-    return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), _NUMBER, 1).try_cast("double")
+    return F.translate(c, _LETTERS + ",", _BLOCKED).try_cast("double")
 
 
 def digit_string_int(c: Column) -> Column:

@@ -73,32 +73,27 @@ def fix_description(c: Column) -> Column:
                   K.MOJIBAKE_FIXES, base)
 
 
-def _spaces(c: Column) -> Column:
-    return F.length(c) - F.length(F.translate(c, " ", ""))
+def word_count(clean: Column) -> Column:
+    """Words of a text as clean_text gives it, where one space separates words."""
+    return F.when(clean.isNull(), 0).otherwise(F.size(F.split(clean, " ")))
 
 
-def word_count(c: Column) -> Column:
-    """Whitespace-separated words; the separators of the cleaned text are counted, no array is built."""
-    return F.coalesce(_spaces(clean_text(c)) + 1, F.lit(0))
-
-
-def avg_word_length(c: Column) -> Column:
-    """Mean characters per word, 0 for no words."""
-    clean = clean_text(c)
-    letters = F.length(F.translate(clean, " ", ""))
-    return F.coalesce(F.try_divide(letters.cast("double"), _spaces(clean) + 1), F.lit(0.0))
+def avg_word_length(clean: Column) -> Column:
+    """Mean characters per word of a cleaned text, 0 for no words."""
+    n = F.size(F.split(clean, " "))
+    return F.when(clean.isNull(), F.lit(0.0)).otherwise((F.length(clean) - n + 1) / n)
 
 
 def punctuation_density(c: Column) -> Column:
     """Share of .,!?;: among the characters, 0 for empty text."""
-    marks = F.length(c) - F.length(F.translate(c, ".,!?;:", ""))
+    marks = F.regexp_count(c, F.lit("[.,!?;:]"))
     return F.coalesce(F.try_divide(marks.cast("double"), F.length(c)), F.lit(0.0))
 
 
-def readability_score(c: Column) -> Column:
-    """Words per sentence plus mean word length; lower reads easier."""
-    sentences = F.greatest(F.regexp_count(c, F.lit(r"[.!?]+")), F.lit(1))
-    return word_count(c) / sentences + avg_word_length(c)
+def readability_score(clean: Column) -> Column:
+    """Words per sentence plus mean word length of a cleaned text; lower reads easier."""
+    sentences = F.greatest(F.regexp_count(clean, F.lit(r"[.!?]+")), F.lit(1))
+    return F.coalesce(word_count(clean) / sentences, F.lit(0.0)) + avg_word_length(clean)
 
 
 def preview(c: Column, length: int = 150) -> Column:

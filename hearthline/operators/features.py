@@ -32,18 +32,19 @@ def indicator_features(df: DataFrame, c: str, prefix: str, n: int | None = None,
 def text_features(df: DataFrame, description: str = "description", amenities: dict[str, list[str]] = K.AMENITY_KEYWORDS,
                   conditions: dict[str, list[str]] = K.CONDITION_KEYWORDS) -> DataFrame:
     """Length, word, keyword and condition features of the repaired description."""
-    clean = df.withColumn("description_clean", text.fix_description(F.col(description)))
-    body = F.col("description_clean")
+    fixed = df.withColumn("description_clean", text.fix_description(F.col(description)))
+    clean = fixed.withColumn("__clean", text.clean_text(F.col("description_clean")))
+    body, collapsed = F.col("description_clean"), F.col("__clean")
     flags = text.keyword_flags(body, amenities, "has_")
     flagged = clean.withColumns({
         "description_length": F.length(body),
-        "description_word_count": text.word_count(body),
-        "avg_word_length": text.avg_word_length(body),
+        "description_word_count": text.word_count(collapsed),
+        "avg_word_length": text.avg_word_length(collapsed),
         "punctuation_density": text.punctuation_density(body),
         **flags,
         **text.keyword_flags(body, conditions, "is_"),
     })
-    return flagged.withColumn("luxury_score", sum((F.col(c) for c in flags), F.lit(0)))
+    return flagged.withColumn("luxury_score", sum((F.col(c) for c in flags), F.lit(0))).drop("__clean")
 
 
 def market_features(df: DataFrame) -> DataFrame:
@@ -104,14 +105,15 @@ def serving_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "__text": words, "__living": numbers.safe_float(get("living_area")), "__land": numbers.safe_float(get("land_area")),
         "__rooms": numbers.safe_int(get("room_count")), "__baths": numbers.safe_int(get("bathroom_count")),
         "__price": numbers.safe_float(get("price")),
-    })
+    }).withColumn("__clean", text.clean_text(F.col("__text")))
+    clean = F.col("__clean")
     body, living, land, rooms, baths, price = (F.col(f"__{c}") for c in ("text", "living", "land", "rooms", "baths", "price"))
     has = lambda c, part: F.contains(c, F.lit(part)).cast("int")
     features = {
         "living_area": living, "land_area": land, "room_count": rooms, "bathroom_count": baths,
         **scores.serve_ratios(price, living, land, rooms, baths),
-        "description_length": F.length(body), "description_word_count": text.word_count(body),
-        "avg_word_length": text.avg_word_length(body), "punctuation_density": text.punctuation_density(body),
+        "description_length": F.length(body), "description_word_count": text.word_count(clean),
+        "avg_word_length": text.avg_word_length(clean), "punctuation_density": text.punctuation_density(body),
         "luxury_score": text.keyword_score(body, K.LUXURY_WORDS),
         "ai_property_score": text.keyword_score(body, K.POSITIVE_WORDS),
         "investment_potential": text.keyword_score(body, K.INVESTMENT_WORDS),

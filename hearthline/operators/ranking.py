@@ -33,9 +33,8 @@ def _ranges(df: DataFrame, value: str, ranges: int) -> DataFrame:
     grid = [i / ranges for i in range(1, ranges)]
     edges = df.agg(F.percentile_approx(value, grid, ranges * 20)).first()[0] or [0.0]
     splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
-    return Bucketizer(
-        splits=splits, inputCol=value, outputCol="__range", handleInvalid="skip"
-    ).transform(df)
+    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="__range", handleInvalid="skip").transform(df)
+    return ranged.withColumn("__range", F.col("__range").cast("int"))
 
 
 def _before(w, c: str) -> Column:
@@ -43,13 +42,13 @@ def _before(w, c: str) -> Column:
     return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _range_offsets(ranged: DataFrame, by: list[str]) -> DataFrame:
-    """First rank of every range per group. At most groups x ranges rows after partial counting."""
-    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+def _range_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
+    """First rank of every range per group, from (by..., __range, __n) rows: at most groups x ranges."""
     w = Window.partitionBy(*by).orderBy("__range")
-    return counts.withColumn("__offset", _before(w, "__n")).withColumn(
+    offsets = counts.withColumn("__offset", _before(w, "__n")).withColumn(
         "__total", F.sum("__n").over(Window.partitionBy(*by))
     )
+    return offsets if by else F.broadcast(offsets)  # without groups there are only the ranges
 
 
 def ranked_values(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = 256) -> DataFrame:
@@ -60,7 +59,7 @@ def ranked_values(df: DataFrame, value: str, by: list[str] | None = None, ranges
     by = by or []
     ranged = _ranges(df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), value, ranges)
     counts = ranged.groupBy(*by, "__range", value).agg(F.count("*").alias("n_rows"))
-    offsets = _range_offsets(ranged, by).drop("__n")
+    offsets = _range_offsets(counts.groupBy(*by, "__range").agg(F.sum("n_rows").alias("__n")), by).drop("__n")
     inner = _before(Window.partitionBy(*by, "__range").orderBy(value), "n_rows")
     return (
         null_safe_join(counts.withColumn("__inner", inner), offsets, [*by, "__range"])
@@ -74,7 +73,7 @@ def _quantiles_by_range(df: DataFrame, value: str, probs: list[float], by: list[
     position = (F.col("__total") - 1) * F.col("prob")
     has = lambda k, start, size: (k >= start) & (k < start + size)
     targets = (
-        _range_offsets(ranged, by)
+        _range_offsets(ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n")), by)
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("__pos", position)
         .withColumn("__lo", F.floor("__pos")).withColumn("__hi", F.ceil("__pos"))

@@ -29,11 +29,11 @@ SELECT doc_id, length(text) AS n_chars, len(w) AS n_words,
              + coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 6) AS readability
 FROM d""")
 def _metrics(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select(
-        "doc_id", F.length(t).cast("bigint").alias("n_chars"), text.word_count(t).cast("bigint").alias("n_words"),
-        F.round(text.avg_word_length(t), 6).alias("avg_word_length"), F.round(text.punctuation_density(t), 6).alias("punctuation_density"),
-        F.round(text.readability_score(t), 6).alias("readability"))
+    t, clean = F.col("text"), F.col("clean")
+    return table(spark, sf, "documents").withColumn("clean", text.clean_text(t)).select(
+        "doc_id", F.length(t).cast("bigint").alias("n_chars"), text.word_count(clean).cast("bigint").alias("n_words"),
+        F.round(text.avg_word_length(clean), 6).alias("avg_word_length"), F.round(text.punctuation_density(t), 6).alias("punctuation_density"),
+        F.round(text.readability_score(clean), 6).alias("readability"))
 
 
 FLAG_GROUPS = {"article": ["der ", "the ", "les "], "ending": ["tion", "ment", "ung"], "license": ["license", "copyright"]}

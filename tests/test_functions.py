@@ -127,8 +127,8 @@ def test_fallback_and_gap(eval_column):
 def test_hash_and_metrics(eval_column):
     h = eval_column(text.description_hash(X), ["A  b", "a b", "", None, "   "])
     assert h[0] == h[1] and len(h[0]) == 16 and h[2:] == ["", "", ""]
-    assert eval_column(text.word_count(X), ["a bb  ccc ", "", None]) == [3, 0, 0]
-    assert eval_column(text.avg_word_length(X), ["a bb  ccc ", ""]) == [2.0, 0.0]
+    assert eval_column(text.word_count(text.clean_text(X)), ["a bb  ccc ", "", None]) == [3, 0, 0]
+    assert eval_column(text.avg_word_length(text.clean_text(X)), ["a bb  ccc ", ""]) == [2.0, 0.0]
     assert eval_column(text.fix_description(X), ["Ã©tage â\x80\x93 Â", None]) == ["étage - â", ""]
     assert eval_column(text.to_text_array(X), ['["a","b"]', "plain", None]) == [["a", "b"], ["plain"], None]
     assert eval_column(text.is_empty(X), ["NaN ", "n/a", "x", None, ""]) == [True, True, False, True, True]
