@@ -46,6 +46,12 @@ def compare_profiles(before: DataFrame, after: DataFrame, cols: list[str] | None
     return b.join(a, "column_name", "full_outer").withColumn("improvement", F.col("before_pct") - F.col("after_pct"))
 
 
+def top_improvements(before: DataFrame, after: DataFrame, cols: list[str] | None = None, n: int = 10) -> DataFrame:
+    """The n columns whose null share fell most."""
+    gained = compare_profiles(before, after, cols).where(F.col("improvement") > 0)
+    return gained.orderBy(F.desc("improvement"), "column_name").limit(n)
+
+
 def filled_cells(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:
     """Total non-null cells before and after and the gain in percent."""
     count = lambda df, name: null_profile(df, cols).agg(F.sum(F.col("n_rows") - F.col("null_count")).alias(name))

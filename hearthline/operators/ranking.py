@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows per group up to which one task may hold the group's distinct values.
-SINGLE_TASK_ROWS = 5_000_000
+# Rows whose distinct values one task may hold: in all, or per group (a task holds many groups).
+SINGLE_TASK_ROWS = 2_000_000
+SINGLE_TASK_GROUP_ROWS = 50_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -100,11 +101,13 @@ def quantiles(
     cols: list[str],
     probs: list[float],
     by: list[str] | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    single_task_rows: int | None = None,
     ranges: int = 256,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: (by..., column_name, prob, value), nulls ignored."""
     by = by or []
+    if single_task_rows is None:
+        single_task_rows = SINGLE_TASK_GROUP_ROWS if by else SINGLE_TASK_ROWS
     if largest_group(df, by) > single_task_rows:
         parts = [_quantiles_by_range(df, c, probs, by, ranges) for c in cols]
         return reduce(DataFrame.unionByName, parts)

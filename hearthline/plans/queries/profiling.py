@@ -45,6 +45,15 @@ def _compare(spark, sf):
     return compared.withColumns({c: F.round(c, 6) for c in ("before_pct", "after_pct", "improvement")})
 
 
+@query("top_improvements", f"""
+WITH c AS ({CLEAN_SQL}), b AS ({_null_rows(['living_area', 'room_count'])})
+SELECT column_name, null_pct AS improvement FROM b ORDER BY 2 DESC, 1 LIMIT 1""")
+def _top_improvements(spark, sf):
+    before = clean_listings(spark, sf).select(*KEYS)
+    after = stats.impute_median(before, ["living_area", "room_count"])
+    return profile.top_improvements(before, after, n=1).select("column_name", F.round("improvement", 6).alias("improvement"))
+
+
 @query("filled_cells", f"""
 WITH c AS ({CLEAN_SQL}), n AS (SELECT count(*) AS n, count(price) + count(living_area) + count(room_count) + count(property_type) AS b,
        count(price) + 2 * count(*) + count(property_type) AS a FROM c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline.functions.dates import ntz_epoch_ms
 from hearthline.functions.urls import normalize_strict
 from hearthline.plans.catalog import query
 from hearthline.plans.tables import table
@@ -35,6 +36,16 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _utc(ts):
+    """Watermarks need an instant; the zone-less event time is read as UTC."""
+    return F.timestamp_millis(ntz_epoch_ms(ts))
+
+
+def _append(stream, root):
+    (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 @query("task_rollup", ROLLUP_SQL)
 def _rollup(spark, sf):
     return _shown(rollup.daily_rollup(_log(table(spark, sf, "events")), *_args()))
@@ -47,6 +58,23 @@ def _rollup_stream(spark, sf):
     return _shown(rollup.read_rollup(spark, f"{root}/out"))
 
 
+@query("task_rollup_windowed", ROLLUP_SQL + " HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def _rollup_windowed(spark, sf):
+    root = scratch_path(spark, "windowed")
+    days = rollup.windowed_rollup(_log(_stream(spark, sf, "events")).withColumn("ts", _utc(F.col("ts"))), "ts", *_args()[1:])
+    _append(days, root)
+    return _shown(spark.read.parquet(f"{root}/out"))
+
+
+@query("bounded_dedupe_stream", "SELECT DISTINCT event_type || '/' || user_id AS url_key FROM events")
+def _bounded(spark, sf):
+    root = scratch_path(spark, "bounded")
+    events = _stream(spark, sf, "events").select(_utc(F.col("ts")).alias("ts"), "event_type", "user_id")
+    key = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
+    _append(ingest.dedupe_bounded(events, "ts", key, "40 days").select("url_key"), root)
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("incremental_ingest_stream", """
 WITH p AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM pages)
 SELECT min(page_id) AS page_id, k AS url_key FROM p GROUP BY 2""")

@@ -48,9 +48,10 @@ def read_rollup(spark: SparkSession, target: str) -> DataFrame:
 
 
 def windowed_rollup(stream: DataFrame, ts: str, new_items: Column, ok: Column, seconds: Column, delay: str = "1 day") -> DataFrame:
-    """Stateful form: one row per day once the watermark has passed it; later rows are dropped."""
+    """Stateful form: one row per UTC day once the watermark has passed it; later rows are dropped."""
     days = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day")).agg(*_measures(new_items, ok, seconds))
-    return days.select(F.col("window.start").cast("date").alias("day"), "n_tasks", "total_new", "all_ok", "total_seconds")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
+    return days.select(day.alias("day"), "n_tasks", "total_new", "all_ok", "total_seconds")
 
 
 def pages_before_gap(df: DataFrame, group: str, page: str, found: str) -> DataFrame:
