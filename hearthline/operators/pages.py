@@ -30,9 +30,9 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column, times: int = 1) -> Column:
-    """HTML entities to characters. Texts without '&' never leave the JVM's own copy."""
+    """HTML entities to characters."""
     for _ in range(times):
-        c = F.coalesce(_unescape(F.when(F.contains(c, F.lit("&")), c)), c)
+        c = _unescape(c)
     return c
 
 

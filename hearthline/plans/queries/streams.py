@@ -58,7 +58,7 @@ def _rollup_stream(spark, sf):
     return _shown(rollup.read_rollup(spark, f"{root}/out"))
 
 
-@query("task_rollup_windowed", ROLLUP_SQL + " HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("task_rollup_windowed", f"SELECT * FROM ({ROLLUP_SQL}) WHERE CAST(day AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def _rollup_windowed(spark, sf):
     root = scratch_path(spark, "windowed")
     days = rollup.windowed_rollup(_log(_stream(spark, sf, "events")).withColumn("ts", _utc(F.col("ts"))), "ts", *_args()[1:])
