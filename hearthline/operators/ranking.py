@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows whose distinct values one task may hold: in all, or per group (a task holds many groups).
 SINGLE_TASK_ROWS = 2_000_000
 SINGLE_TASK_GROUP_ROWS = 50_000
+# A value range should hold about this many rows; the number of ranges grows with the data up to a limit.
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 4_096
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -31,8 +34,12 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 
 def _ranges(df: DataFrame, value: str, ranges: int) -> DataFrame:
     """Adds ``__range``: index of the value range; equal values always share a range."""
-    grid = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(value, grid, ranges * 20)).first()[0] or [0.0]
+    grid = lambda n: F.percentile_approx(value, [i / n for i in range(1, n)], n * 20)
+    n_rows, edges = df.agg(F.count(value), grid(ranges)).first()
+    wanted = min(MAX_RANGES, n_rows // RANGE_ROWS)
+    if wanted > ranges:
+        edges = df.agg(grid(wanted)).first()[0]
+    edges = edges or [0.0]
     splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol="__range", handleInvalid="skip").transform(df)
     return ranged.withColumn("__range", F.col("__range").cast("int"))
@@ -96,6 +103,15 @@ def _quantiles_by_range(df: DataFrame, value: str, probs: list[float], by: list[
     )
 
 
+def _quantile_rows(wide: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame:
+    """One row per column and probability out of one array per column."""
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("prob"), F.get(F.col(c), F.lit(i)).alias("value"))
+        for c in cols for i, p in enumerate(probs)
+    ])
+    return wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
+
+
 def quantiles(
     df: DataFrame,
     cols: list[str],
@@ -103,22 +119,24 @@ def quantiles(
     by: list[str] | None = None,
     single_task_rows: int | None = None,
     ranges: int = 256,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles: (by..., column_name, prob, value), nulls ignored."""
+    """Exact, linearly interpolated quantiles: (by..., column_name, prob, value), nulls ignored.
+
+    With ``accuracy`` the values are approximate (rank error 1/accuracy) and cost one pass.
+    """
     by = by or []
+    plist = F.array(*[F.lit(float(p)) for p in probs])
+    if accuracy:
+        aggs = [F.percentile_approx(F.col(c).cast("double"), plist, accuracy).alias(c) for c in cols]
+        return _quantile_rows(df.groupBy(*by).agg(*aggs), cols, probs, by)
     if single_task_rows is None:
         single_task_rows = SINGLE_TASK_GROUP_ROWS if by else SINGLE_TASK_ROWS
     if largest_group(df, by) > single_task_rows:
         parts = [_quantiles_by_range(df, c, probs, by, ranges) for c in cols]
         return reduce(DataFrame.unionByName, parts)
-    plist = F.array(*[F.lit(float(p)) for p in probs])
     aggs = [F.percentile(F.col(c).cast("double"), plist).alias(c) for c in cols]
-    wide = df.groupBy(*by).agg(*aggs)
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("prob"), F.get(F.col(c), F.lit(i)).alias("value"))
-        for c in cols for i, p in enumerate(probs)
-    ])
-    return wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
+    return _quantile_rows(df.groupBy(*by).agg(*aggs), cols, probs, by)
 
 
 def quantile_values(df: DataFrame, cols: list[str], probs: list[float], **kwargs) -> dict[str, list[float | None]]:

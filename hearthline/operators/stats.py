@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hearthline.operators.profile import _long, _rows_from_columns
 from hearthline.operators.ranking import quantile_values
@@ -141,13 +141,18 @@ def standard_moments(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, f
     return {c: (row[f"{c}__m"], row[f"{c}__s"]) for c in cols}
 
 
+MAX_LABELS = 10_000
+
+
 def label_encode(df: DataFrame, c: str, out: str) -> DataFrame:
     """Codes 0.. by sorted value, for columns with few categories; null becomes -1.
 
-    The category list is checked to stay below 10 000 before it is turned into an expression.
+    The number of categories is checked before the code table is broadcast.
     """
-    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(10_001).collect()]
-    if len(values) > 10_000:
-        raise ValueError(f"{c} has more than 10 000 categories")
-    code: Column = F.array_position(F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>"), F.col(c)) - 1
-    return df.withColumn(out, F.coalesce(code.cast("int"), F.lit(-1)))
+    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LABELS + 1).collect()]
+    if len(values) > MAX_LABELS:
+        raise ValueError(f"{c} has more than {MAX_LABELS} categories")
+    kind = dict(df.dtypes)[c]
+    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{c}` {kind}, `{out}` int")
+    coded = df.join(F.broadcast(codes), c, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    return coded.select(*df.columns, out)

@@ -25,6 +25,14 @@ def test_quantile_routes_agree(skewed):
         assert all(abs(small[k] - large[k]) < 1e-9 for k in small)
 
 
+def test_ranges_grow_with_the_data(skewed, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 50)
+    few = ranking.quantile_values(skewed, ["v"], [0.1, 0.5], single_task_rows=0, ranges=4)
+    assert few["v"] == pytest.approx(ranking.quantile_values(skewed, ["v"], [0.1, 0.5])["v"], rel=1e-12)
+    near = ranking.quantiles(skewed, ["v"], [0.5], ["g"], accuracy=1000)
+    assert near.count() == 3 and near.columns == ["g", "column_name", "prob", "value"]
+
+
 def test_ranked_values_cover_every_row(skewed):
     rows = ranking.ranked_values(skewed, "v", ranges=16).orderBy("rows_before").collect()
     n = skewed.where("v is not null").count()
@@ -43,7 +51,7 @@ def test_keep_first_is_idempotent_and_handles_hot_and_null_keys(spark):
     rows = [(i, None if i % 4 == 0 else "hot" if i % 3 else f"k{i % 5}") for i in range(100)]
     df = spark.createDataFrame(rows, "id int, k string").repartition(7)
     once = dedupe.keep_first(df, ["k"], ["id"])
-    assert sorted(r.id for r in once.collect()) == [0, 1, 3, 6, 9, 15, 27] or once.count() == len({k for _, k in rows})
+    assert once.count() == len({k for _, k in rows})
     firsts = {}
     for i, k in rows:
         firsts.setdefault(k, i)
@@ -77,7 +85,7 @@ def test_modes_and_labels(spark):
     assert stats.modes(df, ["x", "y"]) == {"x": "a", "y": None}
     filled = stats.impute_mode(df, ["x", "y"]).collect()
     assert {r.y for r in filled} == {"unknown"} and all(r.x for r in filled)
-    assert [r.c for r in stats.label_encode(df, "x", "c").collect()] == [1, 0, 1, 0, -1]
+    assert sorted((r.x or "", r.c) for r in stats.label_encode(df, "x", "c").collect()) == [("", -1), ("a", 0), ("a", 0), ("b", 1), ("b", 1)]
 
 
 def test_histogram_edges(spark):
