@@ -1,3 +1,3 @@
 """Importing this module registers the subpackage's queries."""
 
-from hearthline.llm import classifier, decontaminate, line_dedup, mixing, pii, quality  # noqa: F401
+from hearthline.llm import classifier, decontaminate, html_text, jaccard, line_dedup, mixing, pii, quality, substring_dedup  # noqa: F401
