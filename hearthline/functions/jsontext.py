@@ -1,7 +1,8 @@
-"""The first JSON object inside free text."""
+"""The first valid JSON object inside free text."""
 
 from __future__ import annotations
 
+import json
 import sys
 
 import pandas as pd
@@ -17,8 +18,8 @@ _SHALLOW_ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\][^\[\]
 
 
 @F.pandas_udf(T.StringType())
-def _first_balanced(texts: pd.Series) -> pd.Series:
-    """First substring with balanced braces, any depth; linear in the text."""
+def _first_valid(texts: pd.Series) -> pd.Series:
+    """First substring with balanced braces, any depth, that is a JSON object; balanced spans are found in one pass."""
 
     def scan(text: str | None) -> str | None:
         if text is None:
@@ -30,23 +31,32 @@ def _first_balanced(texts: pd.Series) -> pd.Series:
                 opened.append(i)
             elif ch == "}" and opened:
                 closed[opened.pop()] = i
-        first = min(closed, default=None)
-        return None if first is None else text[first : closed[first] + 1]
+        after = 0
+        for begin in sorted(closed):  # outer spans first; a failed span leaves what follows it
+            if begin < after:
+                continue
+            end = closed[begin] + 1
+            try:
+                json.loads(text[begin:end])
+                return text[begin:end]
+            except (ValueError, RecursionError):
+                after = end
+        return None
 
     return texts.map(scan)
 
 
 def json_in_text(c: Column) -> Column:
-    """First balanced {...} (else [...]) as text, or null when it is not valid JSON.
+    """First balanced {...} that is valid JSON (else the first valid [...]) as text, else null.
 
-    A pattern covers shallow objects in the JVM. Only texts whose match does not start at the
-    first brace (deeper nesting, or a stray brace) go to the Python matcher; the rest pass null.
+    Text whose braces are all shallow is settled in the JVM: its candidates are tried in order. Deeper nesting or a stray
+    brace before the first valid candidate goes to the Python matcher; the other texts pass null to it.
     """
-    first_brace = F.instr(c, "{")
-    at_first = (first_brace > 0) & (F.regexp_instr(c, F.lit(_SHALLOW)) == first_brace)
-    shallow = F.regexp_extract(c, _SHALLOW, 0)
-    needs_scan = (first_brace > 0) & ~at_first
-    deep = _first_balanced(F.when(needs_scan, c))
-    array = F.nullif(F.regexp_extract(c, _SHALLOW_ARRAY, 0), F.lit(""))
-    found = F.coalesce(F.when(at_first, shallow), deep, array)
-    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+    valid = lambda x: F.get_json_object(x, "$").isNotNull()
+    candidates = F.regexp_extract_all(c, F.lit(_SHALLOW), F.lit(0))
+    # What is left without the shallow objects has a brace only where they are nested deeper or stray.
+    settled = ~F.contains(F.regexp_replace(c, _SHALLOW, ""), F.lit("{"))
+    shallow = F.get(F.filter(candidates, valid), F.lit(0))
+    deep = _first_valid(F.when(~settled, c))
+    array = F.get(F.filter(F.regexp_extract_all(c, F.lit(_SHALLOW_ARRAY), F.lit(0)), valid), F.lit(0))
+    return F.coalesce(F.when(settled, shallow), deep, array)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from hearthline import constants as K
-from hearthline.functions.numbers import first_int
 from hearthline.functions.text import UNICODE, UNICODE_ICASE, clean_text
 
 
@@ -33,7 +34,7 @@ def contract_transaction(slug: Column) -> Column:
 
 def label_flag(labels: Column, variants: list[str]) -> Column:
     """True when a label contains any variant, ignoring case; null when none does."""
-    hit = F.exists(labels, lambda x: x.rlike("(?i)" + "|".join(variants)))
+    hit = F.exists(labels, lambda x: reduce(Column.__or__, [F.contains(F.lower(x), F.lit(v.lower())) for v in variants]))
     return F.when(hit, F.lit(True))
 
 
@@ -71,9 +72,11 @@ def label_list(details: Column) -> Column:
 
 
 def measure(texts: Column, unit_pattern: str) -> Column:
-    """Number in the last text that mentions the unit."""
+    """Number in the last text that mentions the unit; spaces and commas group its digits."""
     hits = F.filter(texts, lambda t: t.rlike(UNICODE_ICASE + unit_pattern))
-    return first_int(F.element_at(F.when(F.size(hits) > 0, hits), -1))
+    text = F.element_at(F.when(F.size(hits) > 0, hits), -1)
+    run = F.regexp_extract(text, r"\d{1,3}(?:[,\x20\u00A0\u202F]\d{3})+(?!\d)|\d+", 0)
+    return F.nullif(F.regexp_replace(run, r"\D", ""), F.lit("")).try_cast("int")
 
 
 def reference_id(ref_text: Column) -> Column:

@@ -20,7 +20,7 @@ def clean_text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim all Unicode whitespace at both ends."""
-    return F.regexp_replace(c, UNICODE + r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, UNICODE + r"^\s++", ""), UNICODE + r"(?<!\s)\s++$", "")
 
 
 def words(c: Column) -> Column:
@@ -37,7 +37,12 @@ def is_empty(c: Column, kind: str = "text") -> Column:
 
 def description_hash(c: Column) -> Column:
     """First 16 hex digits of the md5 of the lower-cased, space-collapsed text; '' when empty."""
-    return F.coalesce(F.substring(F.md5(clean_text(F.lower(c))), 1, 16), F.lit(""))
+    return F.substring(description_digest(c), 1, 16)
+
+
+def description_digest(c: Column) -> Column:
+    """The whole md5 behind ``description_hash``: the key to dedupe on, however many texts there are."""
+    return F.coalesce(F.md5(clean_text(F.lower(c))), F.lit(""))
 
 
 def description_lines(html: Column) -> Column:

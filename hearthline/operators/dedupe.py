@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hearthline.functions.text import description_hash
+from hearthline.functions.text import description_digest
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[str], unique_when: Column | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str], unique
 
 def dedupe_descriptions(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     """By description hash; rows without a description are all kept."""
-    hashed = df.withColumn("__hash", description_hash(F.col(text)))
+    hashed = df.withColumn("__hash", description_digest(F.col(text)))
     return keep_first(hashed, ["__hash"], order, F.col("__hash") == "").drop("__hash")
 
 

@@ -21,7 +21,9 @@ def new_urls(discovered: DataFrame, saved: DataFrame, url: str, saved_url: str |
     Both sides are reduced to distinct keys before the anti-join, so repeated URLs cost nothing.
     """
     saved_col = F.col(saved_url) if isinstance(saved_url, str) else saved_url
-    fresh = discovered.groupBy(normalize(F.col(url)).alias("url_key")).agg(F.min(url).alias(url))
+    key = normalize(F.col(url))
+    usable = key.isNotNull() & ~F.regexp_replace(key, r"^https?:/*", "").isin("", "/")  # null and blank URLs are no news
+    fresh = discovered.where(usable).groupBy(key.alias("url_key")).agg(F.min(url).alias(url))
     known = saved.select(normalize(saved_col).alias("url_key")).where(F.col("url_key").isNotNull()).distinct()
     return fresh.join(known, "url_key", "left_anti")
 

@@ -1,23 +1,20 @@
-"""Exact order statistics that stay distributed at any size.
+"""Exact order statistics by one route at every size.
 
-Small inputs (checked by count) use the built-in exact percentile, whose state is one map per
-group. Larger ones are cut into value ranges along an approximate grid: range counts give every
-range's first rank, and only the ranges that hold a wanted rank are counted value by value.
+Values are cut into ranges along an approximate grid: range counts give every range's first rank, and only
+the ranges that hold a wanted rank are counted value by value. Nulls are left out; NaN counts as the largest value.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows whose distinct values one task may hold: in all, or per group (a task holds many groups).
-SINGLE_TASK_ROWS = 2_000_000
-SINGLE_TASK_GROUP_ROWS = 50_000
-# A value range should hold about this many rows; the number of ranges grows with the data up to a limit.
+from hearthline.session import materialize
+
+# A value range should hold about this many rows; the number of ranges grows with the data.
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 4_096
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -27,22 +24,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    counts = df.groupBy(*by).count() if by else df.agg(F.count("*").alias("count"))
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
-def _ranges(df: DataFrame, value: str, ranges: int) -> DataFrame:
-    """Adds ``__range``: index of the value range; equal values always share a range."""
-    grid = lambda n: F.percentile_approx(value, [i / n for i in range(1, n)], n * 20)
-    n_rows, edges = df.agg(F.count(value), grid(ranges)).first()
-    wanted = min(MAX_RANGES, n_rows // RANGE_ROWS)
+def _ranges(df: DataFrame, cols: list[str], ranges: int) -> DataFrame:
+    """Adds ``__range_<c>`` to every column: index of its value range; equal values always share a range, NaN has the last one."""
+    grid = lambda c, n: F.percentile_approx(c, [i / n for i in range(1, n)], n * 20)
+    n_rows, *edges = df.agg(F.count("*"), *[grid(c, ranges) for c in cols]).first()
+    wanted = n_rows // RANGE_ROWS
     if wanted > ranges:
-        edges = df.agg(grid(wanted)).first()[0]
-    edges = edges or [0.0]
-    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="__range", handleInvalid="skip").transform(df)
-    return ranged.withColumn("__range", F.col("__range").cast("int"))
+        edges = df.agg(*[grid(c, wanted) for c in cols]).first()
+    splits = [[-math.inf, *sorted({float(x) for x in e or [0.0] if math.isfinite(x)} or {0.0}), math.inf] for e in edges]
+    names = [f"__range_{c}" for c in cols]
+    return Bucketizer(splitsArray=splits, inputCols=cols, outputCols=names, handleInvalid="keep").transform(df)
 
 
 def _before(w, c: str) -> Column:
@@ -65,7 +56,8 @@ def ranked_values(df: DataFrame, value: str, by: list[str] | None = None, ranges
     Ties are counted before anything is sorted, so a value held by a third of the rows is one row.
     """
     by = by or []
-    ranged = _ranges(df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), value, ranges)
+    given = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    ranged = _ranges(given, [value], ranges).withColumnRenamed(f"__range_{value}", "__range")
     counts = ranged.groupBy(*by, "__range", value).agg(F.count("*").alias("n_rows"))
     offsets = _range_offsets(counts.groupBy(*by, "__range").agg(F.sum("n_rows").alias("__n")), by).drop("__n")
     inner = _before(Window.partitionBy(*by, "__range").orderBy(value), "n_rows")
@@ -76,8 +68,8 @@ def ranked_values(df: DataFrame, value: str, by: list[str] | None = None, ranges
     )
 
 
-def _quantiles_by_range(df: DataFrame, value: str, probs: list[float], by: list[str], ranges: int) -> DataFrame:
-    ranged = _ranges(df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), value, ranges)
+def _by_range(ranged: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """(by..., prob, value) from (by..., __range, value) rows."""
     position = (F.col("__total") - 1) * F.col("prob")
     has = lambda k, start, size: (k >= start) & (k < start + size)
     targets = (
@@ -91,15 +83,16 @@ def _quantiles_by_range(df: DataFrame, value: str, probs: list[float], by: list[
     )
     keys = [*by, "__range"]
     wanted = null_safe_join(ranged, targets.select(*keys).distinct(), keys, "left_semi")
-    counts = wanted.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    inner = _before(Window.partitionBy(*keys).orderBy(value), "__n")
+    counts = wanted.groupBy(*keys, "value").agg(F.count("*").alias("__n"))
+    inner = _before(Window.partitionBy(*keys).orderBy("value"), "__n")
     start = F.col("__offset") + F.col("__inner")
-    pick = lambda k: F.max(F.when(has(F.col(k), start, F.col("__n")), F.col(value)))
+    pick = lambda k: F.max(F.when(has(F.col(k), start, F.col("__n")), F.col("value")))
+    between = F.when(F.col("__pos") == F.col("__lo"), F.col("__lov")).otherwise(
+        F.col("__lov") + (F.col("__hiv") - F.col("__lov")) * (F.col("__pos") - F.col("__lo")))
     return (
         null_safe_join(counts.withColumn("__inner", inner), targets, keys)
         .groupBy(*by, "prob", "__pos", "__lo").agg(pick("__lo").alias("__lov"), pick("__hi").alias("__hiv"))
-        .select(*by, F.lit(value).alias("column_name"), "prob",
-                (F.col("__lov") + (F.col("__hiv") - F.col("__lov")) * (F.col("__pos") - F.col("__lo"))).alias("value"))
+        .select(*by, "prob", between.alias("value"))
     )
 
 
@@ -112,31 +105,26 @@ def _quantile_rows(wide: DataFrame, cols: list[str], probs: list[float], by: lis
     return wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
 
 
-def quantiles(
-    df: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    by: list[str] | None = None,
-    single_task_rows: int | None = None,
-    ranges: int = 256,
-    accuracy: int | None = None,
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles: (by..., column_name, prob, value), nulls ignored.
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None, ranges: int = 256, accuracy: int | None = None) -> DataFrame:
+    """Exact, linearly interpolated quantiles: (by..., column_name, prob, value), nulls ignored, NaN as the largest value.
 
-    With ``accuracy`` the values are approximate (rank error 1/accuracy) and cost one pass.
+    Every group has a row per column and probability, null when it has no value there; without groups so has an
+    empty table. With ``accuracy`` the values are approximate (rank error 1/accuracy) and cost one pass.
     """
     by = by or []
-    plist = F.array(*[F.lit(float(p)) for p in probs])
     if accuracy:
+        plist = F.array(*[F.lit(float(p)) for p in probs])
         aggs = [F.percentile_approx(F.col(c).cast("double"), plist, accuracy).alias(c) for c in cols]
         return _quantile_rows(df.groupBy(*by).agg(*aggs), cols, probs, by)
-    if single_task_rows is None:
-        single_task_rows = SINGLE_TASK_GROUP_ROWS if by else SINGLE_TASK_ROWS
-    if largest_group(df, by) > single_task_rows:
-        parts = [_quantiles_by_range(df, c, probs, by, ranges) for c in cols]
-        return reduce(DataFrame.unionByName, parts)
-    aggs = [F.percentile(F.col(c).cast("double"), plist).alias(c) for c in cols]
-    return _quantile_rows(df.groupBy(*by).agg(*aggs), cols, probs, by)
+    # The needed columns only, computed once for all passes.
+    narrow = materialize(df.select(*by, *[F.col(c).cast("double").alias(f"__v_{c}") for c in cols]), "quantiles")
+    ranged = _ranges(narrow, [f"__v_{c}" for c in cols], ranges)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__v_{c}").alias("value"), F.col(f"__range___v_{c}").cast("int").alias("__range")) for c in cols])
+    long = ranged.select(*by, F.explode(entries).alias("e")).select(*by, "e.*").where(F.col("value").isNotNull())
+    found = _by_range(long, probs, [*by, "column_name"])
+    groups = narrow.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
+    every = groups.withColumn("column_name", F.explode(F.array(*map(F.lit, cols)))).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    return null_safe_join(every, found, [*by, "column_name", "prob"], "left").select(*by, "column_name", "prob", "value")
 
 
 def quantile_values(df: DataFrame, cols: list[str], probs: list[float], **kwargs) -> dict[str, list[float | None]]:

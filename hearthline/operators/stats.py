@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthline.operators.profile import _long, _rows_from_columns
 from hearthline.operators.ranking import quantile_values
+from hearthline.session import materialize
 
 
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
@@ -141,18 +142,16 @@ def standard_moments(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, f
     return {c: (row[f"{c}__m"], row[f"{c}__s"]) for c in cols}
 
 
-MAX_LABELS = 10_000
-
-
 def label_encode(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Codes 0.. by sorted value, for columns with few categories; null becomes -1.
+    """Codes 0.. by sorted value, for any number of categories; null becomes -1.
 
-    The number of categories is checked before the code table is broadcast.
+    The distinct values are sorted across tasks, counted per piece and numbered within it; nothing passes through the driver.
     """
-    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LABELS + 1).collect()]
-    if len(values) > MAX_LABELS:
-        raise ValueError(f"{c} has more than {MAX_LABELS} categories")
-    kind = dict(df.dtypes)[c]
-    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{c}` {kind}, `{out}` int")
-    coded = df.join(F.broadcast(codes), c, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
-    return coded.select(*df.columns, out)
+    values = df.where(F.col(c).isNotNull()).select(c).distinct()
+    # Written in order: each piece holds a range of values, and the piece numbers rise with the values.
+    pieces = materialize(values.orderBy(c).select(c, F.spark_partition_id().alias("__piece")), "labels")
+    sizes = pieces.groupBy("__piece").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__piece").orderBy(c))
+    codes = pieces.join(sizes.withColumn("__before", before), "__piece").select(c, (F.col("__before") + within - 1).cast("int").alias(out))
+    return df.join(codes, c, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).select(*df.columns, out)

@@ -24,7 +24,7 @@ SELECT l_returnflag, 'l_extendedprice' AS column_name, p AS prob, round(v, 4) AS
 SELECT l_returnflag, unnest([0.1, 0.5, 0.9])::DOUBLE AS p, unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.9])) AS v FROM lineitem GROUP BY 1)""")
 def _quantiles_ranges(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
-    q = ranking.quantiles(lines, ["l_extendedprice"], [0.1, 0.5, 0.9], ["l_returnflag"], single_task_rows=0)
+    q = ranking.quantiles(lines, ["l_extendedprice"], [0.1, 0.5, 0.9], ["l_returnflag"])
     return q.withColumn("value", F.round("value", 4))
 
 
@@ -87,11 +87,11 @@ def _pivot(spark, sf):
 
 
 @query("outlier_flags", f"""
-WITH c AS (SELECT listing_id, price FROM ({CLEAN_SQL}) WHERE price IS NOT NULL),
+WITH c AS (SELECT listing_id, price FROM ({CLEAN_SQL})),
 q AS (SELECT quantile_cont(price, 0.01) AS p1, quantile_cont(price, 0.99) AS p99, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_samp(price) AS s FROM c)
 SELECT listing_id, price < p1 OR price > p99 AS outside_percentiles, price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) AS iqr_outlier, abs(price - m) > 1.5 * s AS zscore_outlier FROM c, q""")
 def _outliers(spark, sf):
-    df = clean_listings(spark, sf).select("listing_id", "price").where(F.col("price").isNotNull())
+    df = clean_listings(spark, sf).select("listing_id", "price")
     return stats.outlier_flags(df, "price", z=1.5).drop("price")
 
 

@@ -77,10 +77,10 @@ def _stored(spark, sf):
 @query("phones", rf"""
 SELECT doc_id, list_aggregate(list_sort(list_distinct(list_transform(
        regexp_extract_all(text, '(?:\+?216[-.\s]?)?(?:\d{{2}}[-.\s]?\d{{3}}[-.\s]?\d{{3,4}}|\d{{8}})'), lambda x: trim(x)))), 'string_agg', '|') AS phones
-FROM documents WHERE regexp_matches(text, '\d{{2}}[-.\s]?\d{{3}}[-.\s]?\d{{3}}')""")
+FROM documents""")
 def _phones(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", text.phones(F.col("text")).alias("p"))
-    return found.where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("phones"))
+    return found.select("doc_id", F.when(F.size("p") > 0, F.array_join("p", "|")).alias("phones"))
 
 
 @query("description_lines", r"""
@@ -130,11 +130,11 @@ def _param(spark, sf):
 
 
 @query("page_urls", f"""
-SELECT host, p.page AS page, host || '/list?page=' || p.page AS page_url, CASE WHEN p.page <= 1 THEN host ELSE host || '/pag-' || p.page END AS path_url
-FROM (SELECT 'https://' || {HOST_SQL} AS host, CAST(least(count(*) + 1, 6) AS INT) AS n FROM pages GROUP BY 1) h, range(1, 7) p(page) WHERE p.page <= h.n""")
+SELECT host, page, host || '/list?page=' || page AS page_url, CASE WHEN page <= 1 THEN host ELSE host || '/pag-' || page END AS path_url
+FROM (SELECT host, unnest(range(1, n + 1)) AS page FROM (SELECT 'https://' || {HOST_SQL} AS host, count(*) + 1 AS n FROM pages GROUP BY 1))""")
 def _page_urls(spark, sf):
     host = F.regexp_extract(urls.normalize_strict(F.col("url")), "^https://[^/]*", 0)
-    hosts = table(spark, sf, "pages").groupBy(host.alias("host")).agg(F.least(F.count("*") + 1, F.lit(6)).cast("int").alias("n"))
+    hosts = table(spark, sf, "pages").groupBy(host.alias("host")).agg((F.count("*") + 1).cast("int").alias("n"))
     numbered = urls.page_urls(hosts, F.concat("host", F.lit("/list")), F.col("n"))
     return numbered.select("host", F.col("page").cast("bigint").alias("page"), "page_url", urls.path_page_url(F.col("host"), F.col("page")).alias("path_url"))
 
@@ -151,12 +151,13 @@ def _sorted(spark, sf):
 
 @query("price_from_text", f"""
 SELECT listing_id, CASE WHEN raw_price NOT IN ('nan', '') THEN CAST(raw_price AS BIGINT) END AS price, 'TND' AS currency,
-       CASE WHEN raw_price NOT IN ('nan', '') THEN CAST(raw_price AS BIGINT) END AS described, 'EUR' AS unit
-FROM ({LISTINGS_SQL}) WHERE raw_price NOT IN ('nan', '')""")
+       CASE WHEN raw_price NOT IN ('nan', '') THEN CAST(raw_price AS BIGINT) END AS described,
+       CASE WHEN raw_price NOT IN ('nan', '') THEN 'EUR' ELSE 'TND' END AS unit
+FROM ({LISTINGS_SQL})""")
 def _prices(spark, sf):
     spaced = F.regexp_replace("raw_price", r"(\d)(?=(\d{3})+$)", "$1 ")
     commas = F.regexp_replace("raw_price", r"(\d)(?=(\d{3})+$)", "$1,")
-    df = listings(spark, sf).where(~F.col("raw_price").isin("nan", "")).select(
+    df = listings(spark, sf).select(
         "listing_id", money.price_and_currency(F.concat(spaced, F.lit(" DT"))).alias("p"),
         money.description_price(F.concat(F.lit("Nice flat. Price "), commas, F.lit(" TND per month"))).alias("d"),
         money.text_price(F.concat(F.lit("Prix: "), spaced, F.lit(" €"))).alias("e"))
@@ -206,11 +207,11 @@ def _dates(spark, sf):
     return df.withColumn("shown", dates.display_date(F.col("ms")))
 
 
-@query("thousands", f"SELECT listing_id, format('{{:,}}', CAST(raw_price AS BIGINT)) AS shown FROM ({LISTINGS_SQL}) WHERE raw_price NOT IN ('nan', '')")
+@query("thousands", f"SELECT listing_id, format('{{:,}}', TRY_CAST(raw_price AS BIGINT)) AS shown FROM ({LISTINGS_SQL})")
 def _thousands(spark, sf):
     from hearthline.functions.numbers import thousands
 
-    return listings(spark, sf).where(~F.col("raw_price").isin("nan", "")).select("listing_id", thousands(F.col("raw_price").cast("bigint")).alias("shown"))
+    return listings(spark, sf).select("listing_id", thousands(F.col("raw_price").try_cast("bigint")).alias("shown"))
 
 
 @query("tfidf_top_terms", r"""

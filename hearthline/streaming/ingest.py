@@ -23,7 +23,9 @@ def _saved(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFr
 
 
 def ingest_new(stream: DataFrame, url: str, order: str, target: str, checkpoint: str, normalize=normalize_strict) -> StreamingQuery:
-    """Append rows with an unseen normalised URL, first one by ``order`` within a batch.
+    """Append rows with an unseen normalised URL, first one by ``order`` within a batch (rows without order last).
+
+    Rows without a URL can't be told apart and are left out.
 
     Each micro-batch overwrites only its own ``batch_id`` partition, so a replay after a failure
     gives the same table. The anti-join reads just the key column of what is saved.
@@ -31,9 +33,11 @@ def ingest_new(stream: DataFrame, url: str, order: str, target: str, checkpoint:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keyed = batch.withColumn(KEY, normalize(F.col(url)))
+        keyed = batch.withColumn(KEY, normalize(F.col(url))).where(F.col(KEY).isNotNull() & (F.trim(F.col(url)) != ""))
         cols = keyed.columns
-        firsts = keyed.groupBy(KEY).agg(F.min_by(F.struct(*cols), F.col(order)).alias("r")).select("r.*")
+        # A row without an order comes last; equal ones are told apart by their whole content.
+        first = F.struct(F.col(order).isNull(), F.col(order), F.xxhash64(*cols))
+        firsts = keyed.groupBy(KEY).agg(F.min_by(F.struct(*cols), first).alias("r")).select("r.*")
         saved = _saved(spark, target, batch_id, f"{KEY} string, batch_id long")
         fresh = firsts.join(saved, KEY, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
         (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

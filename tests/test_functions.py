@@ -71,6 +71,9 @@ def test_governorate(eval_column):
     ("This is just text without JSON", None),
     ("list [1, [2]] only", "[1, [2]]"),
     (None, None),
+    ('Use {placeholder} then {"a": 1}', '{"a": 1}'),
+    ('{"a":1,} then {"b":2}', '{"b":2}'),
+    ('{no {"a":{"b":{"c":{"d":1}}}} } and {"e":{"f":{"g":{"h":2}}}}', '{"e":{"f":{"g":{"h":2}}}}'),
 ])
 def test_json_in_text(eval_column, raw, want):
     assert eval_column(jsontext.json_in_text(X), [raw]) == [want]
@@ -134,3 +137,14 @@ def test_hash_and_metrics(eval_column):
     assert eval_column(text.is_empty(X), ["NaN ", "n/a", "x", None, ""]) == [True, True, False, True, True]
     assert eval_column(text.paragraphs(X), ["<p>one <b>x</b></p><p> </p><p>two</p>"]) == [["one x", "two"]]
     assert eval_column(text.preview(X, 3), ["abcd", "abc"]) == ["abc...", "abc"]
+
+
+def test_dates_of_other_shapes(eval_column):
+    got = eval_column(dates.epoch_ms(X), ["2022-01-01", "2022-01-01T10:00:00.123", "20220101", "2022-01-01 10:00", "2022-01-01T10:00:00+01:00", "2022-01-01T10:00:00Z", "20220101T100000", "x", None, "2022-13-01"])
+    day, ten = 1640995200000, 1641031200000
+    assert got == [day, ten + 123, day, ten, ten, ten, ten, None, None, None]
+
+
+def test_label_flags_and_measures_of_odd_spellings(eval_column):
+    assert eval_column(labels.label_flag(F.array(X), ["Meublé", "a+b"]), ["MEUBLÉ", "x A+B", "aab", None]) == [True, True, None, None]
+    assert eval_column(labels.measure(F.array(X), "m²"), ["1,200 m²", "1 287 m²", "90 m²", "no"]) == [1200, 1287, 90, None]

@@ -1,4 +1,4 @@
-"""Operators: exactness on both size routes, skewed keys, and set properties."""
+"""Operators: exactness, skewed keys, and set properties."""
 
 import random
 
@@ -16,19 +16,27 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, g string, v double").cache()
 
 
-def test_quantile_routes_agree(skewed):
+def test_quantiles_match_the_built_in(skewed):
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     for by in ([], ["g"]):
-        small = {(r.g if by else 0, r.prob): r.value for r in ranking.quantiles(skewed, ["v"], probs, by).collect()}
-        large = {(r.g if by else 0, r.prob): r.value for r in ranking.quantiles(skewed, ["v"], probs, by, single_task_rows=0, ranges=16).collect()}
-        assert small.keys() == large.keys()
-        assert all(abs(small[k] - large[k]) < 1e-9 for k in small)
+        want = {(r.g if by else 0, p): v for r in skewed.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect() for p, v in zip(probs, r.q)}
+        for ranges in (4, 256):
+            got = {(r.g if by else 0, r.prob): r.value for r in ranking.quantiles(skewed, ["v"], probs, by, ranges=ranges).collect()}
+            assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_quantiles_of_nan_ties_and_null_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", float("nan")), ("b", None), ("b", None), (None, 5.0), (None, 5.0), ("c", float("inf")), ("c", -float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.prob): r.value for r in ranking.quantiles(df, ["v"], [0.25, 0.5, 1.0], ["g"], ranges=4).collect()}
+    assert got[("a", 0.5)] == 2.5 and got[("a", 1.0)] != got[("a", 1.0)] and got[("a", 0.25)] == 1.75
+    assert got[("b", 0.5)] is None and got[(None, 0.5)] == 5.0 and got[("c", 1.0)] == float("inf") and len(got) == 12
 
 
 def test_ranges_grow_with_the_data(skewed, monkeypatch):
+    want = ranking.quantile_values(skewed, ["v"], [0.1, 0.5])
     monkeypatch.setattr(ranking, "RANGE_ROWS", 50)
-    few = ranking.quantile_values(skewed, ["v"], [0.1, 0.5], single_task_rows=0, ranges=4)
-    assert few["v"] == pytest.approx(ranking.quantile_values(skewed, ["v"], [0.1, 0.5])["v"], rel=1e-12)
+    assert ranking.quantile_values(skewed, ["v"], [0.1, 0.5], ranges=4)["v"] == pytest.approx(want["v"], rel=1e-12)
     near = ranking.quantiles(skewed, ["v"], [0.5], ["g"], accuracy=1000)
     assert near.count() == 3 and near.columns == ["g", "column_name", "prob", "value"]
 
@@ -44,7 +52,9 @@ def test_ranked_values_cover_every_row(skewed):
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "v double")
     assert ranking.quantile_values(empty, ["v"], [0.5]) == {"v": [None]}
-    assert ranking.quantiles(empty, ["v"], [0.5], single_task_rows=0).count() in (0, 1)
+    assert [r.value for r in ranking.quantiles(empty, ["v"], [0.5]).collect()] == [None]
+    assert [r.value for r in ranking.quantiles(empty.limit(0), ["v"], [0.5]).collect()] == [None]
+    assert ranking.quantiles(empty.limit(0).withColumn("g", F.lit(1)), ["v"], [0.5], ["g"]).count() == 0
 
 
 def test_keep_first_is_idempotent_and_handles_hot_and_null_keys(spark):
@@ -162,3 +172,25 @@ def test_near_duplicates_match_brute_force_with_crowds(spark):
     for t in (0.8, 0.5, 0.95):
         got = {r.id for r in similar.near_duplicates(df, "id", "t", t).where("is_duplicate").collect()}
         assert got == _brute(rows, t)
+
+
+def test_near_duplicates_of_templated_texts_and_an_odd_leader(spark):
+    rnd = random.Random(5)
+    fixed, base = [f"f{i}" for i in range(5)], [f"b{i}" for i in range(60)]
+    texts = [" ".join([*base[:52], *(f"odd{i}" for i in range(8))])]  # the smallest key is no copy of those that follow
+    for i in range(60):
+        words = list(base)
+        words[i % 60] = f"c{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*fixed, f"u{i}"]) for i in range(300)]
+    texts += [" ".join([*fixed, f"u{i}", "x"]) for i in range(5)]
+    rnd.shuffle(texts[1:])
+    rows = list(enumerate(texts))
+    got = {r.id for r in similar.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").where("is_duplicate").collect()}
+    assert got == _brute(rows)
+
+
+def test_label_encode_of_many_labels(spark):
+    df = spark.range(12_000).select(F.format_string("k%05d", F.col("id") % 11_000).alias("x"))
+    codes = stats.label_encode(df, "x", "c")
+    assert codes.where(F.col("c") != F.substring("x", 2, 5).cast("int")).count() == 0 and codes.count() == 12_000
