@@ -1,3 +1,5 @@
 """Importing this module registers the subpackage's queries."""
 
-from hearthline.llm import classifier, decontaminate, html_text, jaccard, language_model, line_dedup, mixing, pii, quality, substring_dedup  # noqa: F401
+from hearthline.llm import (  # noqa: F401
+    classifier, decontaminate, html_text, jaccard, language_model, line_dedup, mixing, packing, pii, prefix_trie, quality, substring_dedup, whitening,
+)
