@@ -125,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:])):
