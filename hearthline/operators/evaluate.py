@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-from statistics import NormalDist
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline import constants as K
-from hearthline.operators.ranking import ranked_values
-
-# Worker functions travel by value, so executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from hearthline.operators.normality import normal_quantile, rank_runs
 
 
 def _metrics(actual: Column, predicted: Column) -> list[Column]:
@@ -30,10 +22,11 @@ def _metrics(actual: Column, predicted: Column) -> list[Column]:
     ]
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    """R2, MAE, MSE, RMSE and MAPE in percent, overall or per group."""
+def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None, r2_of: tuple[str, str] | None = None) -> DataFrame:
+    """R2, MAE, MSE, RMSE and MAPE in percent, overall or per group; with ``r2_of`` also the R2 of another pair of columns."""
     known = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    return known.groupBy(*(by or [])).agg(*_metrics(F.col(actual), F.col(predicted)))
+    more = [_metrics(F.col(r2_of[0]), F.col(r2_of[1]))[1].alias("r2_of")] if r2_of else []
+    return known.groupBy(*(by or [])).agg(*_metrics(F.col(actual), F.col(predicted)), *more)
 
 
 def price_band(c: Column, bands: str = "small") -> Column:
@@ -99,11 +92,6 @@ def wide_predictions(df: DataFrame, key: str, models: list[str], n: int = 5) ->
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(NormalDist().inv_cdf)
-
-
 def plotting_position(rank: Column, n: Column) -> Column:
     """Filliben's estimate of the order-statistic medians; ranks start at 1."""
     last = F.pow(F.lit(0.5), 1.0 / n)
@@ -111,17 +99,14 @@ def plotting_position(rank: Column, n: Column) -> Column:
 
 
 def qq_positions(df: DataFrame, c: str) -> DataFrame:
-    """(value, rank, position): one row per non-null value. Ranks come from value ranges, not one sort."""
-    ranked = ranked_values(df, c)
-    rank = F.explode(F.sequence(F.col("rows_before") + 1, F.col("rows_before") + F.col("n_rows")))
-    return ranked.select(F.col(c).alias("value"), rank.alias("rank"), "n_total").withColumn(
-        "position", plotting_position(F.col("rank"), F.col("n_total"))
-    )
+    """(value, rank, position): one row per non-null value. Ranks come from value ranges, not one sort; frequent values are spread over tasks."""
+    rank = F.explode(F.sequence("first", "last"))
+    return rank_runs(df, c).select("value", rank.alias("rank"), "n_total").withColumn("position", plotting_position(F.col("rank"), F.col("n_total")))
 
 
 def qq_points(df: DataFrame, c: str) -> DataFrame:
     """Ordered values against normal quantiles."""
-    return qq_positions(df, c).withColumn("theoretical", _normal_quantile("position"))
+    return qq_positions(df, c).withColumn("theoretical", normal_quantile(F.col("position")))
 
 
 def moments(df: DataFrame, c: str) -> DataFrame:

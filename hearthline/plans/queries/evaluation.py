@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline.functions import scores
-from hearthline.operators import evaluate, stats
+from hearthline.operators import evaluate, normality, stats
 from hearthline.plans.catalog import query
 from hearthline.plans.tables import CLEAN_SQL, PREDICTED_SQL, clean_listings, predicted_listings
 
@@ -181,8 +181,76 @@ def _qq(spark, sf):
     return evaluate.qq_positions(df, "residual").withColumn("position", F.round("position", 8))
 
 
+def _poly_sql(coefficients, x):
+    """sum of c * x^i, innermost first."""
+    out = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r})"
+    return f"{out}::DOUBLE"
+
+
+def _ratio_sql(fit, x):
+    return f"{_poly_sql(fit[0], x)} / {_poly_sql(fit[1], x)}"
+
+
+def _quantile_sql(p):
+    """The normal quantile by the published approximations."""
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    near, far = (_ratio_sql(fit, f"({tail} - {x})") for fit, x in ((normality.QUANTILE_NEAR, 1.6), (normality.QUANTILE_FAR, 5.0)))
+    return (f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_ratio_sql(normality.QUANTILE_MIDDLE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} "
+            f"ELSE sign({p} - 0.5) * CASE WHEN {tail} <= 5 THEN {near} ELSE {far} END END")
+
+
+@query("qq_points", f"""
+WITH r AS (SELECT price - y_pred AS value, row_number() OVER (ORDER BY price - y_pred) AS rank, count(*) OVER () AS n FROM ({PREDICTED_SQL})),
+p AS (SELECT value, rank, n, CASE WHEN rank = n THEN 0.5 ^ (1.0 / n) WHEN rank = 1 THEN 1 - 0.5 ^ (1.0 / n) ELSE (rank - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM r)
+SELECT value, rank, n AS n_total, round(p, 8) AS position, round({_quantile_sql("p")}, 8) AS theoretical FROM p""")
+def _qq_points(spark, sf):
+    df = predicted_listings(spark, sf).withColumn("residual", F.col("price") - F.col("y_pred"))
+    return evaluate.qq_points(df, "residual").withColumns({c: F.round(c, 8) for c in ("position", "theoretical")})
+
+
+# --- fixed values: tail of the normal distribution (Abramowitz and Stegun 26.2.17), to 1e-7 ---------------
+TAIL_SCALE = 0.2316419
+TAIL = (0.0, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def _shapiro_sql(values):
+    """Both statistics from every value and its own weight, for more than 11 of them."""
+    tail = lambda z: f"(CASE WHEN {z} >= 0 THEN 1 ELSE -1 END * (exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {_poly_sql(TAIL, f'(1 / (1 + {TAIL_SCALE} * abs({z})))')}) + CASE WHEN {z} >= 0 THEN 0 ELSE 1 END)"
+    return f"""
+WITH v AS ({values}), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n, avg(x) OVER () AS mean FROM v),
+p AS (SELECT x - mean AS x, i, n, ((i - 0.375) / (n + 0.25))::DOUBLE AS p FROM r),
+m AS (SELECT x, i, n, {_quantile_sql("p")} AS m FROM p),
+s AS (SELECT n, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(n) AS u FROM m GROUP BY n),
+a AS (SELECT *, m1 / sqrt(mm) + {_poly_sql(normality.LAST_WEIGHT, "u")} AS a1, m2 / sqrt(mm) + {_poly_sql(normality.SECOND_LAST_WEIGHT, "u")} AS a2 FROM s),
+f AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM a),
+w AS (SELECT any_value(m.n) AS n, sum(x * CASE WHEN i = m.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = m.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / sqrt(phi) END) ^ 2 / sum(x * x) AS w,
+      sum(x * m) ^ 2 / (any_value(mm) * sum(x * x)) AS f, ln(any_value(m.n)) AS l FROM m, f),
+z AS (SELECT n, w, f, (ln(1 - w) - {_poly_sql(normality.WILK_MEAN, "l")}) / exp({_poly_sql(normality.WILK_LOG_DEVIATION, "l")}) AS zw,
+      (ln(1 - f) - (-1.2725 + 1.0521 * (ln(l) - l))) / (1.0308 - 0.26758 * (ln(l) + 2 / l)) AS zf FROM w)
+SELECT n, round(w, 9) AS shapiro_wilk_w, round({tail("zw")}, 5) AS shapiro_wilk_p, round(f, 9) AS shapiro_francia_w, round({tail("zf")}, 5) AS shapiro_francia_p FROM z"""
+
+
+def _rounded_shapiro(df, c):
+    found = normality.shapiro(df, c)
+    return found.withColumns({x: F.round(x, 5 if x.endswith("p") else 9) for x in found.columns if x != "n"})
+
+
+@query("residual_shapiro", _shapiro_sql(f"SELECT price - y_pred AS x FROM ({PREDICTED_SQL})"))
+def _shapiro(spark, sf):
+    return _rounded_shapiro(predicted_listings(spark, sf).withColumn("residual", F.col("price") - F.col("y_pred")), "residual")
+
+
+@query("room_count_shapiro", _shapiro_sql(f"SELECT room_count::DOUBLE AS x FROM ({CLEAN_SQL}) WHERE room_count IS NOT NULL"))
+def _shapiro_ties(spark, sf):
+    """A column of few values: every rank belongs to a long run."""
+    return _rounded_shapiro(clean_listings(spark, sf), "room_count")
+
+
 @query("residual_shape", f"""
-SELECT round(avg(price - y_pred), 4) AS mean_value, round(stddev_samp(price - y_pred), 4) AS std_value FROM ({PREDICTED_SQL})""")
+WITH r AS (SELECT price - y_pred AS x FROM ({PREDICTED_SQL})), m AS (SELECT x - avg(x) OVER () AS d, x FROM r)
+SELECT round(avg(x), 4) AS mean_value, round(stddev_samp(x), 4) AS std_value, round(avg(d ^ 3) / avg(d ^ 2) ^ 1.5, 6) AS skewness, round(avg(d ^ 4) / avg(d ^ 2) ^ 2 - 3, 6) AS kurtosis FROM m""")
 def _shape(spark, sf):
     df = predicted_listings(spark, sf).withColumn("residual", F.col("price") - F.col("y_pred"))
-    return evaluate.moments(df, "residual").select(F.round("mean_value", 4).alias("mean_value"), F.round("std_value", 4).alias("std_value"))
+    return evaluate.moments(df, "residual").withColumns({c: F.round(c, 4 if c.endswith("value") else 6) for c in ("mean_value", "std_value", "skewness", "kurtosis")})

@@ -58,11 +58,11 @@ def _rollup_stream(spark, sf):
     return _shown(rollup.read_rollup(spark, f"{root}/out"))
 
 
-@query("task_rollup_windowed", f"SELECT * FROM ({ROLLUP_SQL}) WHERE CAST(day AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("task_rollup_windowed", ROLLUP_SQL)
 def _rollup_windowed(spark, sf):
     root = scratch_path(spark, "windowed")
-    days = rollup.windowed_rollup(_log(_stream(spark, sf, "events")).withColumn("ts", _utc(F.col("ts"))), "ts", *_args()[1:])
-    _append(days, root)
+    log = _log(_stream(spark, sf, "events")).withColumn("ts", _utc(F.col("ts")))
+    rollup.windowed_rollup_stream(log, "ts", *_args()[1:], f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return _shown(spark.read.parquet(f"{root}/out"))
 
 
@@ -75,14 +75,40 @@ def _bounded(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
-@query("incremental_ingest_stream", """
-WITH p AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM pages)
-SELECT min(page_id) AS page_id, k AS url_key FROM p GROUP BY 2""")
+URL_KEY_SQL = """'https://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')"""
+
+
+def _landed(spark, sf, root, slices=4):
+    """Pages as files that land one after another, by page_id; every seventh page has lost its URL. Returns the stream over them, a file a batch."""
+    pages = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"))
+    low, high, n = pages.agg(F.min("page_id"), F.max("page_id"), F.count("*")).first()
+    slices = max(slices, n // 1_000_000)  # a slice is one file
+    edges = [low + (high + 1 - low) * i // slices for i in range(slices + 1)]
+    for a, z in zip(edges, edges[1:]):
+        pages.where((F.col("page_id") >= a) & (F.col("page_id") < z)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    return spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+
+
+@query("incremental_ingest_stream", f"""
+SELECT min(page_id) AS page_id, {URL_KEY_SQL} AS url_key FROM pages WHERE page_id % 7 <> 0 GROUP BY 2
+UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 7 = 0""")
 def _ingest(spark, sf):
+    """What was ingested over several micro-batches, and the quarantined rows."""
     root = scratch_path(spark, "ingest")
-    pages = _stream(spark, sf, "pages").select("page_id", "url")
-    ingest.ingest_new(pages, "url", "page_id", f"{root}/out", f"{root}/checkpoint", normalize_strict).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("page_id", "url_key")
+    ingest.ingest_new(_landed(spark, sf, root), "url", "page_id", f"{root}/out", f"{root}/checkpoint", normalize_strict).awaitTermination()
+    bad = spark.read.parquet(ingest.quarantine_of(f"{root}/out")).select("page_id", F.lit(None).cast("string").alias("url_key"))
+    return spark.read.parquet(f"{root}/out").select("page_id", "url_key").unionByName(bad)
+
+
+@query("ingest_after_saved", f"""
+WITH p AS (SELECT page_id, {URL_KEY_SQL} AS k FROM pages)
+SELECT k AS url_key, min(page_id) AS page_id FROM p WHERE page_id % 7 <> 0 AND k NOT IN (SELECT k FROM p WHERE page_id % 3 = 0) GROUP BY 1""")
+def _ingest_saved(spark, sf):
+    """Ingest on top of a list saved earlier: its keys are the query's first state."""
+    root = scratch_path(spark, "ingest-saved")
+    saved = table(spark, sf, "pages").where("page_id % 3 = 0").select(normalize_strict(F.col("url")).alias("url_key"))
+    ingest.ingest_new(_landed(spark, sf, root), "url", "page_id", f"{root}/out", f"{root}/checkpoint", known=saved).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("url_key", "page_id")
 
 
 @query("log_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")

@@ -2,50 +2,136 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hearthline.functions.urls import normalize_strict
 
+# Worker classes travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = "url_key"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through and remembers the key, for good or until it hasn't been shown for ``keep_ms``.
+
+    One value per key: the time at which it is forgotten. Times are those of the batches, which a replay repeats, so rows that
+    arrive late are never left out. A timer drops the value; a key that returns in the very batch in which it runs out is new again.
+    """
+
+    def __init__(self, fields: list[str], keep_ms: int | None):
+        self.fields, self.keep_ms = fields, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", T.StructType([T.StructField("until", T.LongType())]))
+
+    def _remember(self, now: int, before: int | None) -> None:
+        if self.keep_ms is None:
+            if before is None:
+                self.until.update((0,))
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.until.update((now + self.keep_ms,))
+        self.handle.registerTimer(now + self.keep_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._remember(timerValues.getCurrentProcessingTimeInMs() if self.keep_ms is not None else 0, None)
 
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms is not None else 0
+        before = self.until.get()[0] if self.until.exists() else None
+        known = before is not None and (self.keep_ms is None or now < before)
+        first = first_at = None
+        for row in rows:
+            at = row["__none"], row["__by"], row["__content"]
+            if not known and (first is None or at < first_at):
+                first, first_at = row, at
+        self._remember(now, before)
+        if not known:
+            yield Row(**{f: first[f] for f in self.fields})
 
-def _saved(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Keys of earlier batches; a retried batch does not see its own half-written rows."""
-    from pyspark.errors import AnalysisException
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.until.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB):
+    """Queries that start inside keep their state in this store; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
     try:
-        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id).select(KEY)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{KEY} string")
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
 
+def new_rows(stream: DataFrame, url: str, order: str, normalize=normalize_strict, keep: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The rows of a stream whose normalised URL (``url_key``) is new, and those without a URL (``url_key`` null).
+
+    Of several rows of a key in one batch the first by ``order`` stays (rows without order last, equal ones by their content). ``keep``, a
+    time such as '180 days', forgets keys that no batch has shown for so long; ``known`` (url_key) are keys saved before the
+    first batch.
+    """
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+    cols = stream.columns
+    named = F.col(url).isNotNull() & (F.trim(F.col(url)) != "")
+    keyed = stream.withColumn(KEY, F.when(named, normalize(F.col(url))))
+    place = {"__none": F.col(order).isNull(), "__by": F.col(order), "__content": F.xxhash64(*cols)}
+    schema = T.StructType([*keyed.schema])
+    start = known.select(KEY).distinct().groupBy(KEY) if known is not None else None
+    fresh = keyed.where(F.col(KEY).isNotNull()).withColumns(place).groupBy(KEY).transformWithState(
+        FirstSeen([*cols, KEY], keep_ms), schema, "Append", "None" if keep is None else "ProcessingTime", start)
+    return fresh.unionByName(keyed.where(F.col(KEY).isNull()))
 
-def ingest_new(stream: DataFrame, url: str, order: str, target: str, checkpoint: str, normalize=normalize_strict) -> StreamingQuery:
-    """Append rows with an unseen normalised URL, first one by ``order`` within a batch (rows without order last).
 
-    Rows without a URL can't be told apart and are left out.
+def ingest_new(stream: DataFrame, url: str, order: str, target: str, checkpoint: str, normalize=normalize_strict, keep: str | None = None,
+               known: DataFrame | None = None, quarantine: str | None = None) -> StreamingQuery:
+    """Append rows with an unseen normalised URL to ``target``; see new_rows.
 
-    Each micro-batch overwrites only its own ``batch_id`` partition, so a replay after a failure
-    gives the same table. The anti-join reads just the key column of what is saved.
+    What has been seen is keyed state of the query, so no batch reads what is saved. Rows without a URL can't be told apart: they
+    go to ``quarantine`` (by default beside the target), where count_quarantined counts them. Each micro-batch overwrites only its own
+    ``batch_id`` partition of both, so a replay after a failure gives the same tables.
     """
+    quarantine = quarantine or quarantine_of(target)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn(KEY, normalize(F.col(url))).where(F.col(KEY).isNotNull() & (F.trim(F.col(url)) != ""))
-        cols = keyed.columns
-        # A row without an order comes last; equal ones are told apart by their whole content.
-        first = F.struct(F.col(order).isNull(), F.col(order), F.xxhash64(*cols))
-        firsts = keyed.groupBy(KEY).agg(F.min_by(F.struct(*cols), first).alias("r")).select("r.*")
-        saved = _saved(spark, target, batch_id, f"{KEY} string, batch_id long")
-        fresh = firsts.join(saved, KEY, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(target))
-
-    return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+        held = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
+        for rows, path in ((held.where(F.col(KEY).isNotNull()), target), (held.where(F.col(KEY).isNull()).drop(KEY), quarantine)):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        held.unpersist()
+
+    with state_store(stream.sparkSession):
+        return (new_rows(stream, url, order, normalize, keep, known).writeStream.outputMode("append").foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def quarantine_of(target: str) -> str:
+    return f"{target.rstrip('/')}-without-url"
+
+
+def count_quarantined(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """(batch_id, n_rows) of the rows without a URL; ``schema`` is that of the stream."""
+    rows = spark.read.schema(f"{schema}, batch_id long").parquet(quarantine_of(target))
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n_rows"))
 
 
 def dedupe_bounded(stream: DataFrame, ts: str, key: Column, delay: str = "1 day") -> DataFrame:

@@ -48,12 +48,26 @@ def read_rollup(spark: SparkSession, target: str) -> DataFrame:
 
 
 def windowed_rollup(stream: DataFrame, ts: str, new_items: Column, ok: Column, seconds: Column, delay: str = "1 day") -> DataFrame:
-    """Stateful form: one row per UTC day once the watermark has passed it; later rows are dropped."""
+    """Stateful form: one row per UTC day, whose state goes once the watermark has passed it; later rows are dropped."""
     days = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day")).agg(*_measures(new_items, ok, seconds))
     day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
     return days.select(day.alias("day"), "n_tasks", "total_new", "all_ok", "total_seconds")
 
 
+def windowed_rollup_stream(stream: DataFrame, ts: str, new_items: Column, ok: Column, seconds: Column, target: str, checkpoint: str,
+                           delay: str = "1 day") -> StreamingQuery:
+    """Keep ``target`` at the current total of every day, open days included: each micro-batch overwrites the days that it changed.
+
+    A replayed batch writes the same totals again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+
+    days = windowed_rollup(stream, ts, new_items, ok, seconds, delay)
+    return days.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def pages_before_gap(df: DataFrame, group: str, page: str, found: str) -> DataFrame:
     """Pages of each group before its first empty page after page 1."""
     stop = F.min(F.when((F.col(found) == 0) & (F.col(page) > 1), F.col(page))).alias("__stop")

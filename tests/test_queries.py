@@ -18,7 +18,7 @@ def test_same_as_sql(spark, con, sf, name):
     assert compare(spark, con, QUERIES[name], ORACLES[name], sf) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"train_boosted_trees", "train_compare"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

@@ -27,7 +27,7 @@ def test_models_recover_a_linear_target(linear_rows):
     names = ["linear_regression", "decision_tree", "random_forest"]
     models, prep, table = training.train_compare(linear_rows, "id", ["room_count", "land_area"], names)
     r2 = {r.model: r.r2 for r in table.collect()}
-    assert set(r2) == {*names, "ensemble"} and all(v > 0.97 for v in r2.values()) and r2["linear_regression"] > 0.99
+    assert set(r2) == set(names) and all(v > 0.97 for v in r2.values()) and r2["linear_regression"] > 0.99
     assert prep.bounds.keys() == {"price", "land_area"} and "room_area" in prep.features
 
 
@@ -40,15 +40,25 @@ def test_preparation_is_fitted_on_training_rows_only(spark, linear_rows):
 
 def test_grid_and_importance(spark, linear_rows):
     prep = training.Preparation.fit(linear_rows, ["room_count", "land_area"])
-    rows = prep.apply(linear_rows)
-    fitted = training.grid_search(rows, "lasso", prep.features, "id", folds=2)
-    grid = training.grid_results(spark, fitted, "lasso").collect()
-    assert len(grid) == 3 and all(r.std_metric >= 0 for r in grid)
+    rows = prep.apply(linear_rows).cache()
+    fitted = training.grid_search(rows, "random_forest", prep.features, "id", folds=2, values={"numTrees": [3, 5], "maxDepth": [2, 4]})
+    grid = training.grid_results(spark, fitted, "random_forest").collect()
+    assert len(grid) == 4 and all(r.std_metric >= 0 for r in grid)
     model = training.pipeline(training.estimators()["decision_tree"], prep.features).fit(rows)
     top = training.importances(spark, model, prep.features).orderBy(F.desc("importance")).first()
     assert top.feature in ("room_count", "room_area") and training.eliminate_features(rows, prep.features, 1, "decision_tree")
 
 
+def test_comparison_with_folds_and_all_members(spark, linear_rows):
+    names = ["linear_regression", "lasso", "random_forest", "xgboost"]
+    models, prep, table = training.train_compare(linear_rows, "id", ["room_count", "land_area"], names, folds=2)
+    rows = {r.model: r for r in table.collect()}
+    assert set(rows) == {*names, "ensemble"} and rows["ensemble"].cv_rmse_mean is None and not any(r.overfit for r in rows.values())
+    assert all(rows[n].cv_rmse_mean < 0.3 and rows[n].cv_rmse_std >= 0 and rows[n].train_r2 > 0.9 for n in names)
+    top = training.importances(spark, models["xgboost"], prep.features).orderBy(F.desc("importance")).first()
+    assert top.feature == "room_count" and training.importances(spark, models["lasso"], prep.features).count() == len(prep.features)
+
+
 def test_text_vectors_have_unit_length(spark):
     docs = spark.createDataFrame([(1, "pool garden pool"), (2, "garden villa"), (3, "villa")], "id int, t string")
     rows = training.fit_text(docs, "t", 10).transform(docs).collect()
