@@ -307,3 +307,16 @@ def test_model_is_a_distribution():
     part = language_model.score_ids(theta, counts, text[:20], np.array([0, 20]))
     assert whole[:20] == pytest.approx(part, abs=1e-4)
 
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    """Per token, on the largest of the small tables: the model has learnt more than how often words occur."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    out = language_model.lm_scores(docs, language_model.read_ranks()).where("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
+    assert (out["sum(score)"] - out["sum(base_score)"]) / out["sum(n_tokens)"] > 0.1
+
+
+def test_language_model_weights_do_not_depend_on_the_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = ({r["id"]: r["score"] for r in language_model.lm_scores(docs.repartition(n), language_model.read_ranks()).collect()} for n in (1, 5))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-3
