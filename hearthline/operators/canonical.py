@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline import constants as K
@@ -224,3 +226,14 @@ def listings_from_pages(pages: DataFrame, layout: str, source: str) -> DataFrame
     """Pages of one layout straight to canonical listings."""
     to_raw, to_listing = _LAYOUTS[layout]
     return to_listing(to_raw(extract_fields(pages, RULES[layout])), source)
+
+
+def listings_by_provider(pages: DataFrame, provider: Column, layouts: dict[str, str]) -> DataFrame:
+    """One listing per page: each page is read by its provider's layout only, and ``source`` names the provider.
+
+    Pages of a provider without a layout give a listing with their URL and provider only; a page without a provider is left to the caller.
+    """
+    routed = pages.withColumn("__provider", provider)
+    known = [listings_from_pages(routed.where(F.col("__provider") == p).drop("__provider"), layout, p) for p, layout in layouts.items()]
+    other = conform(routed.where(F.col("__provider").isNotNull() & ~F.col("__provider").isin(list(layouts))).select("url", F.col("__provider").alias("source")), LISTING_SCHEMA)
+    return reduce(DataFrame.unionByName, known, other)

@@ -11,6 +11,7 @@ from hearthline.operators import columns, filters, profile
 from hearthline.plans.catalog import query
 from hearthline.plans.prepare import segment_summary
 from hearthline.plans.tables import CLEAN_SQL, LISTINGS_SQL, clean_listings, described_listings, listings, table
+from hearthline.schemas import LISTING_SCHEMA
 
 SEGMENT_CASE = """CASE WHEN price < 100000 THEN 'Budget' WHEN price < 200000 THEN 'Entry-Level'
     WHEN price < 400000 THEN 'Mid-Market' WHEN price < 800000 THEN 'Upper-Mid' ELSE 'Luxury' END"""
@@ -164,14 +165,21 @@ def _form(spark, sf):
         F.col("address").cast("bigint").alias("listing_id"), "price", "living_area", "governorate", "room_count", "land_area")
 
 
-@query("conform_schema", f"""
-SELECT CAST(listing_id AS VARCHAR) AS id, price, CAST(NULL AS VARCHAR) AS currency, 0 AS n_photos, room_count
-FROM ({CLEAN_SQL})""")
-def _conform(spark, sf):
-    from hearthline.schemas import LISTING_SCHEMA
+_PRESENT = {"id": "CAST(listing_id AS VARCHAR)", **{c: c for c in ("price", "living_area", "land_area", "room_count", "bathroom_count", "governorate", "property_type")}}
+_SQL_TYPES = {"double": "DOUBLE", "int": "INT", "boolean": "BOOLEAN", "bigint": "BIGINT", "string": "VARCHAR"}
+
+
+def _conformed_sql(f):
+    """A column of the listing schema; arrays are shown as text."""
+    kind = f.dataType.simpleString()
+    value = "''" if kind.startswith("array") else _PRESENT.get(f.name, "NULL")
+    return f"CAST({value} AS {_SQL_TYPES.get(kind, 'VARCHAR')}) AS {f.name}"
 
+
+@query("conform_schema", f"SELECT {', '.join(map(_conformed_sql, LISTING_SCHEMA.fields))} FROM ({CLEAN_SQL})")
+def _conform(spark, sf):
     shaped = columns.conform(clean_listings(spark, sf).withColumn("id", F.col("listing_id").cast("string")), LISTING_SCHEMA)
-    return shaped.select("id", "price", "currency", F.size("photos").alias("n_photos"), "room_count")
+    return shaped.withColumns({f.name: F.array_join(f.name, "|") for f in LISTING_SCHEMA.fields if f.dataType.simpleString().startswith("array")})
 
 
 @query("add_missing_features", f"""

@@ -93,11 +93,11 @@ def _merge(spark, sf):
 @query("merge_preview", f"""
 WITH j AS (SELECT b.listing_id, b.room_count AS br, b.property_type AS bt, b.land_area AS bl, p.room_count AS pr, p.property_type AS pt, p.land_area AS pl
            FROM ({LISTINGS_SQL}) b JOIN ({PATCH_SQL}) p USING (listing_id))
-SELECT listing_id, 'room_count' AS column_name, CASE WHEN br IS NULL THEN 'new' ELSE 'keep' END AS status FROM j WHERE pr IS NOT NULL
-UNION ALL SELECT listing_id, 'property_type', CASE WHEN bt IS NULL THEN 'new' ELSE 'keep' END FROM j WHERE pt IS NOT NULL
-UNION ALL SELECT listing_id, 'land_area', CASE WHEN bl IS NULL THEN 'new' WHEN bl = 0 THEN 'replace' ELSE 'keep' END FROM j WHERE pl IS NOT NULL""")
+SELECT listing_id, 'room_count' AS column_name, CAST(br AS VARCHAR) AS before_value, CAST(pr AS VARCHAR) AS patch_value, CASE WHEN br IS NULL THEN 'new' ELSE 'keep' END AS status FROM j WHERE pr IS NOT NULL
+UNION ALL SELECT listing_id, 'property_type', bt, pt, CASE WHEN bt IS NULL THEN 'new' ELSE 'keep' END FROM j WHERE pt IS NOT NULL
+UNION ALL SELECT listing_id, 'land_area', CAST(bl AS VARCHAR), CAST(pl AS VARCHAR), CASE WHEN bl IS NULL THEN 'new' WHEN bl = 0 THEN 'replace' ELSE 'keep' END FROM j WHERE pl IS NOT NULL""")
 def _preview(spark, sf):
-    return merge.merge_preview(listings(spark, sf), _patch(spark, sf), "listing_id", KINDS).select("listing_id", "column_name", "status")
+    return merge.merge_preview(listings(spark, sf), _patch(spark, sf), "listing_id", KINDS)
 
 
 @query("merge_counts", f"""
@@ -177,14 +177,17 @@ def _published(spark, sf):
 
 
 @query("cleaning_report", f"""
-SELECT count(*) AS rows_before, count(price) AS rows_after, count(*) || '>' || count(price) AS steps FROM ({CLEAN_SQL})""")
+SELECT count(*) AS rows_before, count(price) AS rows_after, count(*) || '>' || count(price) AS steps,
+       round(100.0 * count(*) FILTER (living_area IS NULL) / count(*), 6) AS living_area_before, round(100.0 * count(*) FILTER (living_area IS NULL AND price IS NOT NULL) / count(price), 6) AS living_area_after,
+       round(100.0 * count(*) FILTER (price IS NULL) / count(*), 6) AS price_before, 0.0::DOUBLE AS price_after FROM ({CLEAN_SQL})""")
 def _report(spark, sf):
     raw = clean_listings(spark, sf)
     priced = raw.where(F.col("price").isNotNull())
     funnel = profile.removal_funnel(raw, [("price", F.col("price").isNotNull())])
     report = sinks.cleaning_report(raw, priced, funnel, ["price", "living_area"])
     steps = F.array_join(F.transform("steps", lambda s: s["n_left"].cast("string")), ">")
-    return report.select("rows_before", "rows_after", steps.alias("steps"))
+    share = lambda c, when: F.round(F.filter("null_shares", lambda s: s["column_name"] == c)[0][f"{when}_pct"], 6).alias(f"{c}_{when}")
+    return report.select("rows_before", "rows_after", steps.alias("steps"), *(share(c, w) for c in ("price", "living_area") for w in ("before", "after")))
 
 
 @query("feature_report", f"""

@@ -194,3 +194,19 @@ def test_label_encode_of_many_labels(spark):
     df = spark.range(12_000).select(F.format_string("k%05d", F.col("id") % 11_000).alias("x"))
     codes = stats.label_encode(df, "x", "c")
     assert codes.where(F.col("c") != F.substring("x", 2, 5).cast("int")).count() == 0 and codes.count() == 12_000
+
+
+def test_near_duplicates_of_form_letters_compare_about_as_many_pairs_as_texts(spark, monkeypatch):
+    """Most words are fixed, the others have a few options each: every word is frequent, and all pairs would be two million."""
+    compared, similar_pairs = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, sets, t: compared.append(pairs.count()) or similar_pairs(pairs, sets, t))
+    rng, counts = random.Random(1), []
+    for n in (500, 2_000):
+        rows = [(i, " ".join([f"fix{j}" for j in range(54)] + [f"slot{j}opt{rng.randrange(12)}" for j in range(9)])) for i in range(n)]
+        compared.clear()
+        got = {r.id for r in similar.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").where("is_duplicate").collect()}
+        sets = [set(t.split()) for _, t in rows]
+        want = {i for i in range(n) if any((o := len(sets[i] & sets[j])) > 0.8 * (len(sets[i]) + len(sets[j]) - o) + 1e-9 for j in range(i))}
+        assert got == want
+        counts.append(sum(compared))
+    assert counts[1] < 6 * counts[0]  # all pairs would be 16 times as many

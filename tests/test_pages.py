@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from hearthline.operators import canonical, pages
 from hearthline.schemas import LISTING_SCHEMA
 
@@ -92,3 +94,11 @@ def test_reduce_and_links(spark):
     assert "Description: Nice & big" in reduced and "a.png\nb.png\n" in reduced and "robots" not in reduced and "no\n" not in reduced
     assert pages.reduce_pages(df, keep_chars=20).first().reduced == reduced[:20]
     assert [r.link for r in pages.page_links(df, "/en/a/").collect()] == ["https://h.tn/en/a/1"]
+
+
+def test_every_page_is_read_by_its_provider_only(spark):
+    rows = [(1, "https://one.tn/1", "<h3 class='greyTit'>x</h3>", "one"), (2, "https://two.tn/2", "<p>y</p>", "two"), (3, "https://else.tn/3", "<p>z</p>", "else"), (4, "https://no.tn/4", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, site string")
+    out = canonical.listings_by_provider(pages, F.col("site"), {"one": "boxes", "two": "options"})
+    assert sorted((r.url, r.source) for r in out.collect()) == [("https://else.tn/3", "else"), ("https://one.tn/1", "one"), ("https://two.tn/2", "two")]
+    assert len(out.columns) == len(set(out.columns)) == 35
