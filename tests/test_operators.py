@@ -210,3 +210,25 @@ def test_near_duplicates_of_form_letters_compare_about_as_many_pairs_as_texts(sp
         assert got == want
         counts.append(sum(compared))
     assert counts[1] < 6 * counts[0]  # all pairs would be 16 times as many
+
+
+@pytest.mark.parametrize("range_rows,accuracy", [(10, 20), (1_000_000, 2_000)])
+def test_whole_quantiles_with_bounds_drawn_closer(spark, monkeypatch, range_rows, accuracy):
+    """Sketches as coarse as they come, columns of few values, NaN, infinite and no values at all."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+    rnd = random.Random(2)
+    rows = [(rnd.gauss(0, 1e6), float(rnd.randrange(3)), rnd.choice([None, 1.5, float("inf"), float("-inf"), rnd.random()]), rnd.choice([float("nan"), 2.0, rnd.random()]), None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = ranking.quantile_values(df, list("abcde"), probs)
+    for i, c in enumerate("abcde"):
+        values = sorted((r[i] for r in rows if r[i] is not None), key=lambda v: (v != v, v))
+        for p, q in zip(probs, got[c]):
+            if not values:
+                assert q is None
+                continue
+            at = (len(values) - 1) * p
+            lo, hi = values[int(at)], values[min(len(values) - 1, int(at) + (at > int(at)))]
+            want = lo if at == int(at) else lo + (hi - lo) * (at - int(at))
+            assert q == want or q != q and want != want or abs(q - want) < 1e-9 * abs(want)
