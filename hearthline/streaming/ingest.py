@@ -18,53 +18,43 @@ from hearthline.functions.urls import normalize_strict
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = "url_key"
+FOREVER = 2**63 - 1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class FirstSeen(StatefulProcessor):
     """Lets the first row of a key through and remembers the key, for good or until it hasn't been shown for ``keep_ms``.
 
-    One value per key: the time at which it is forgotten. Times are those of the batches, which a replay repeats, so rows that
-    arrive late are never left out. A timer drops the value; a key that returns in the very batch in which it runs out is new again.
+    One value per key: the time until which it counts as known, by the time of the batch, which a replay repeats; so rows that arrive
+    late are never left out. No timers: a query that runs until all input is read would never end with them. A key that ran out
+    keeps its value until it is shown again.
     """
 
     def __init__(self, fields: list[str], keep_ms: int | None):
         self.fields, self.keep_ms = fields, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.until = handle.getValueState("until", T.StructType([T.StructField("until", T.LongType())]))
 
-    def _remember(self, now: int, before: int | None) -> None:
-        if self.keep_ms is None:
-            if before is None:
-                self.until.update((0,))
-            return
-        if before is not None:
-            self.handle.deleteTimer(before)
-        self.until.update((now + self.keep_ms,))
-        self.handle.registerTimer(now + self.keep_ms)
-
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._remember(timerValues.getCurrentProcessingTimeInMs() if self.keep_ms is not None else 0, None)
+        self.until.update((initialState["until"],))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms is not None else 0
-        before = self.until.get()[0] if self.until.exists() else None
-        known = before is not None and (self.keep_ms is None or now < before)
-        first = first_at = None
+        known, now, first, first_at = None, 0, None, None
         for row in rows:
+            if known is None:
+                now = row["__now"]
+                known = self.until.exists() and now < self.until.get()[0]
             at = row["__none"], row["__by"], row["__content"]
             if not known and (first is None or at < first_at):
                 first, first_at = row, at
-        self._remember(now, before)
-        if not known:
+        if self.keep_ms is not None:
+            self.until.update((now + self.keep_ms,))
+        elif not known:
+            self.until.update((FOREVER,))
+        if first is not None:
             yield Row(**{f: first[f] for f in self.fields})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.until.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -95,11 +85,14 @@ def new_rows(stream: DataFrame, url: str, order: str, normalize=normalize_strict
     cols = stream.columns
     named = F.col(url).isNotNull() & (F.trim(F.col(url)) != "")
     keyed = stream.withColumn(KEY, F.when(named, normalize(F.col(url))))
-    place = {"__none": F.col(order).isNull(), "__by": F.col(order), "__content": F.xxhash64(*cols)}
+    # The time of the batch, which is kept with it for a replay.
+    now = F.unix_millis(F.current_timestamp())
+    place = {"__now": now, "__none": F.col(order).isNull(), "__by": F.col(order), "__content": F.xxhash64(*cols)}
     schema = T.StructType([*keyed.schema])
-    start = known.select(KEY).distinct().groupBy(KEY) if known is not None else None
+    until = F.lit(FOREVER) if keep_ms is None else now + keep_ms
+    start = known.select(KEY).distinct().withColumn("until", until).groupBy(KEY) if known is not None else None
     fresh = keyed.where(F.col(KEY).isNotNull()).withColumns(place).groupBy(KEY).transformWithState(
-        FirstSeen([*cols, KEY], keep_ms), schema, "Append", "None" if keep is None else "ProcessingTime", start)
+        FirstSeen([*cols, KEY], keep_ms), schema, "Append", "None", start)
     return fresh.unionByName(keyed.where(F.col(KEY).isNull()))
 
 

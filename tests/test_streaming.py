@@ -2,9 +2,9 @@
 
 import json
 import os
-import time
 
 from pyspark.sql import functions as F
+import pytest
 
 from hearthline.functions.urls import normalize_strict
 from hearthline.streaming import ingest, rollup
@@ -64,19 +64,14 @@ def test_ingest_keeps_the_first_by_order_and_rows_without_order_last(spark, tmp_
     assert sorted((r.url, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [("http://a.tn/x/", 7), ("https://a.tn/y", None)]
 
 
-def test_ingest_forgets_keys_that_are_not_shown(spark, tmp_path):
+@pytest.mark.parametrize("keep,want", [("1 hour", ["x", "y"]), ("1 millisecond", ["x", "x", "y"])])
+def test_ingest_forgets_keys_that_are_not_shown(spark, tmp_path, keep, want):
     land, out = tmp_path / "l", str(tmp_path / "o")
-
-    def run(name, *keys):
+    for name, keys in (("1.json", "xy"), ("2.json", "x")):
         _land(land, name, [{"url": f"https://a.tn/{k}", "n": 1} for k in keys])
         stream = spark.readStream.schema(SCHEMA).json(str(land))
-        ingest.ingest_new(stream, "url", "n", out, str(tmp_path / "c"), keep="3 seconds").awaitTermination()
-        return sorted(r.url[-1] for r in spark.read.parquet(out).collect())
-
-    assert run("1.json", "x", "y") == ["x", "y"]
-    assert run("2.json", "x") == ["x", "y"]
-    time.sleep(4)
-    assert run("3.json", "x", "z") == ["x", "x", "y", "z"]  # x had run out and is new again
+        ingest.ingest_new(stream, "url", "n", out, str(tmp_path / "c"), keep=keep).awaitTermination()
+    assert sorted(r.url[-1] for r in spark.read.parquet(out).collect()) == want
 
 
 def test_ingest_starts_from_saved_keys(spark, tmp_path):
