@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from hearthline import constants as K
 
+# Worker functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # (?U) makes \s, \w and \b Unicode-aware, as the source patterns assume.
 UNICODE = "(?U)"
 UNICODE_ICASE = "(?iU)"
@@ -116,6 +122,20 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(k)) for k in keywords])
 
 
+def found_keywords(c: Column, keywords: list[str]) -> Column:
+    """Which of the keywords occur as a substring, null for null text.
+
+    Many keywords in long texts are searched in Python, several times as fast as one expression for each.
+    """
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
+        wanted = [(k, k.encode()) for k in dict.fromkeys(keywords)]
+        rows = texts.cast(pa.binary()).to_pylist()
+        return pa.array([None if t is None else [k for k, b in wanted if b in t] for t in rows], pa.list_(pa.string()))
+
+    return find(c)
+
+
 def keyword_flag(c: Column, keywords: list[str]) -> Column:
     """1 when any keyword occurs as a substring, else 0 (also for null text)."""
     return F.coalesce(contains_any(c, keywords), F.lit(False)).cast("int")

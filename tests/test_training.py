@@ -96,3 +96,21 @@ def test_every_prediction_case_gives_one_valid_record(spark):
 def test_leaky_columns_stay_out(spark):
     df = spark.createDataFrame([(1.0, 1.0, 1, 1)], "living_area double, price_per_sqm double, market_segment_Budget int, has_pool int")
     assert model_columns(df) == ["living_area", "has_pool"] and "price_per_sqm" in model_columns(df, include_leaky=True)
+
+
+def test_found_keywords(spark):
+    from hearthline.functions.text import found_keywords
+
+    df = spark.createDataFrame([(1, "villa rénovée, vue mer"), (2, ""), (3, None)], "id int, t string")
+    found = {r["id"]: r["f"] for r in df.select("id", found_keywords(F.col("t"), ["vue mer", "rénov", "é", "jardin", "é"]).alias("f")).collect()}
+    assert found == {1: ["vue mer", "rénov", "é"], 2: [], 3: None}
+
+
+def test_texts_are_kept_as_vectors_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, 20_000.0 + i * 100, float(i % 9), "garden pool" if i % 2 else "pool sea") for i in range(300)], "id long, price double, land_area double, t string")
+    rows = rows.withColumn("room_count", F.lit(2.0))
+    seen, plain = [], training.pipeline
+    monkeypatch.setattr(training, "pipeline", lambda estimator, features, text=None: (seen.append((features, text)), plain(estimator, features, text))[1])
+    models, prep, table = training.train_compare(rows, "id", ["land_area", "room_count"], ["decision_tree"], text="t", folds=2)
+    assert seen and all(text is None and features[-1] == "text_vector" for features, text in seen)
+    assert "prediction" in models["decision_tree"].transform(prep.apply(rows)).columns and table.count() == 1
