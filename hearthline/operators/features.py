@@ -106,7 +106,12 @@ def serving_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "__rooms": numbers.safe_int(get("room_count")), "__baths": numbers.safe_int(get("bathroom_count")),
         "__price": numbers.safe_float(get("price")),
     }).withColumn("__clean", text.clean_text(F.col("__text")))
+    amenities, conditions = ([k for kws in groups for k in kws] for groups in ((kws for _, kws in K.SERVE_AMENITY_FLAGS.values()), K.SERVE_CONDITION_FLAGS.values()))
+    lists = {"luxury": K.LUXURY_WORDS, "positive": K.POSITIVE_WORDS, "investment": K.INVESTMENT_WORDS, "amenities": amenities, "conditions": conditions}
+    base = base.withColumns({f"__{n}": text.found_keywords(F.col("__text"), kws) for n, kws in lists.items()})
     clean = F.col("__clean")
+    flag = lambda n, kws: F.arrays_overlap(F.col(f"__{n}"), F.array(*map(F.lit, kws)))
+    yes = lambda s: F.coalesce(s, F.lit(False)) if s is not None else F.lit(False)
     body, living, land, rooms, baths, price = (F.col(f"__{c}") for c in ("text", "living", "land", "rooms", "baths", "price"))
     has = lambda c, part: F.contains(c, F.lit(part)).cast("int")
     features = {
@@ -114,16 +119,16 @@ def serving_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         **scores.serve_ratios(price, living, land, rooms, baths),
         "description_length": F.length(body), "description_word_count": text.word_count(clean),
         "avg_word_length": text.avg_word_length(clean), "punctuation_density": text.punctuation_density(body),
-        "luxury_score": text.keyword_score(body, K.LUXURY_WORDS),
-        "ai_property_score": text.keyword_score(body, K.POSITIVE_WORDS),
-        "investment_potential": text.keyword_score(body, K.INVESTMENT_WORDS),
-        **{c: text.stored_or_keyword_flag(stored(s), body, kws) for c, (s, kws) in K.SERVE_AMENITY_FLAGS.items()},
+        "luxury_score": F.size("__luxury"),
+        "ai_property_score": F.size("__positive"),
+        "investment_potential": F.size("__investment"),
+        **{c: (flag("amenities", kws) | yes(stored(s))).cast("int") for c, (s, kws) in K.SERVE_AMENITY_FLAGS.items()},
         **{c: has(kind, part) for c, part in K.SERVE_TYPE_FLAGS.items()},
         "is_major_city": place.mentions_flag(K.MAJOR_CITIES_SERVE, governorate, delegation),
         "is_coastal": place.mentions_flag(K.COASTAL_SERVE, governorate),
         **{c: place.mentions_flag(kws, governorate) for c, kws in K.SERVE_GOVERNORATE_FLAGS.items()},
         "gov_unknown": (governorate == "").cast("int"),
-        **{c: text.keyword_flag(body, kws) for c, kws in K.SERVE_CONDITION_FLAGS.items()},
+        **{c: flag("conditions", kws).cast("int") for c, kws in K.SERVE_CONDITION_FLAGS.items()},
         **scores.indicators(scores.tier_by_area(living), K.TIERS, "property_tier_", slug=False),
         **scores.indicators(scores.market_segment(price, "serve"), K.SEGMENTS, "market_segment_", slug=False),
     }
