@@ -2,8 +2,8 @@
 
 A subword's probability is that of its group given the context, of its class in the group, and its share in the class; frequent
 subwords are classes of their own. The shares, and how classes follow one another inside words and at their borders, are
-counts over all training documents (taken from the word counts, so no text is read twice). Attention over the last subwords corrects them; it is trained on one window of every training document and a
-further one for each STRIDE words, bucket by bucket, and averaged over the buckets after each round. Buckets are of documents by hash, so
+counts over all training documents (taken from the word counts, so no text is read twice). Attention over the last subwords corrects them; it is trained on every block
+of every training document, bucket by bucket, and averaged over the buckets after each round. Buckets are of pieces of documents by hash, so
 that weights don't depend on how the table is split among tasks.
 
 Windows overlap: every block of BLOCK subwords is scored once and sees the block before it as context. A word's probability in the text is
@@ -31,11 +31,13 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK, DIM, GROUPS, MEMBERS, ROWS = 16, 16, 32, 32, 1024
 CLASSES, OWN_CLASS = GROUPS * MEMBERS, GROUPS * MEMBERS - 64
-STRIDE, ROUNDS, RATE, BATCH = 512, 2, 0.01, 32
+ROUNDS, RATE, BATCH = 2, 0.01, 512
 #: Words whose counts are sent to all tasks (the most frequent ones); the counts of all others are joined.
 HEAD = 1 << 16
 #: Weight of the attention model; documents of a training bucket; words whose ids a task remembers.
 OWN, BUCKET_DOCS, KNOWN = 0.7, 1 << 13, 1 << 20
+#: Subwords of a training piece; words of a training bucket.
+PIECE, BUCKET_TOKENS = 32 * BLOCK, 1 << 22
 _CHUNK = 1 << 21
 
 
@@ -308,10 +310,10 @@ def _trainer(counts: Counts, flat: np.ndarray):
         pieces = rows["ids"].combine_chunks()
         ids, first = pieces.values.to_numpy(zero_copy_only=False), pieces.offsets.to_numpy().astype(np.int64)
         now, m, v, step, lost = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0, 0.0
-        at, _, begin, end = _places(first)
-        # The last block of each piece is the one to predict.
-        last = np.flatnonzero(np.append(begin[1:] != begin[:-1], True)) if len(at) else at
-        at, begin, end = at[last], begin[last], end[last]
+        at, seq, begin, end = _places(first)
+        # A block that a piece only repeats as context isn't predicted.
+        own = np.flatnonzero(at - begin >= rows["lead"].to_numpy()[seq])
+        at, begin, end = at[own], begin[own], end[own]
         prev_all = _rows_before(counts, ids, first)
         for i in range(0, len(at), BATCH):
             place = at[i:i + BATCH, None] - BLOCK + np.arange(2 * BLOCK)
@@ -329,37 +331,35 @@ def _trainer(counts: Counts, flat: np.ndarray):
 
 
 def _windows(ranks: dict[bytes, int]):
-    """(bucket, place, nth, ids): pieces of about two blocks, one in every STRIDE words of each row, wherever the row's hash puts it."""
+    """(place, nth, lead, ids): all subwords of each row, an end after them, in pieces of PIECE; the first ``lead`` of a piece are the block before it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Subwords(ranks)
+        words, hasher = WordIds(Subwords(ranks)), Hasher()
         for b in batches:
             places = b.column("place").to_numpy()
-            for at, off, data in chunks(b.column("text")):
+            for at, off, data in chunks(b.column("text"), _CHUNK):
                 w = Words(off, data, FOLDED)
-                n = w.counts()
-                many = np.where(n > 0, -(-n // STRIDE), 0)
-                row = np.repeat(np.arange(len(n)), many)
-                turn = _ragged(np.zeros(len(n), np.int64), many)
-                own = places[at + row]
-                spread = ((own >> 20) + turn * 104729) % np.maximum(1, np.minimum(STRIDE, n[row] - turn * STRIDE))
-                begin = w.first[:-1][row] + np.minimum(turn * STRIDE + spread, np.maximum(0, n[row] - BLOCK))
-                size = np.minimum(BLOCK, w.first[1:][row] - begin)
-                ids, many_ids = code(_word_bytes(w, _ragged(begin, size)).to_pylist())
-                border = np.concatenate(([0], np.cumsum(many_ids)))[np.concatenate(([0], np.cumsum(size)))]
-                keep = np.minimum(np.diff(border), 2 * BLOCK)
+                ids, first = _encoded(words, w, hasher(w))[:2]
+                many = -(-np.diff(first) // PIECE)
+                row = np.repeat(np.arange(len(many)), many)
+                turn = _ragged(np.zeros(len(many), np.int64), many)
+                lead = np.where(turn > 0, BLOCK, 0)
+                begin = first[:-1][row] + turn * PIECE
+                size = np.minimum(begin + PIECE, first[1:][row]) - begin + lead
                 yield pa.record_batch({
-                    "bucket": b.column("bucket").take(pa.array(at + row)), "place": pa.array(own), "nth": pa.array(turn),
-                    "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep))).astype(np.int32)), pa.array(ids[_ragged(border[:-1], keep)].astype(np.int32)))})
+                    "place": pa.array(places[at + row]), "nth": pa.array(turn), "lead": pa.array(lead),
+                    "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(ids[_ragged(begin - lead, size)].astype(np.int32)))})
 
     return cut
 
 
-def _fit(train: DataFrame, n_docs: int, ranks: dict[bytes, int], counts: Counts) -> np.ndarray:
-    """Weights after ROUNDS; windows of rows that are equal in id and text count once."""
+def _fit(train: DataFrame, n_docs: int, n_tokens: int, ranks: dict[bytes, int], counts: Counts) -> np.ndarray:
+    """Weights after ROUNDS over every block of the training documents; rows that are equal in id and text count once."""
     flat = _start()
-    placed = train.select(F.xxhash64("id", "key").alias("place"), "text").withColumn("bucket", F.pmod("place", F.lit(max(1, -(-n_docs // BUCKET_DOCS)))))
-    windows = stored(placed.mapInArrow(_windows(ranks), "bucket long, place long, nth long, ids array<int>").dropDuplicates(["place", "nth"]), "windows")
+    pieces = train.select(F.xxhash64("id", "key").alias("place"), "text").mapInArrow(_windows(ranks), "place long, nth long, lead long, ids array<int>").dropDuplicates(["place", "nth"])
+    # Buckets of pieces by hash; long documents make more buckets, so that none holds more than a bounded number of words.
+    buckets = max(1, -(-n_docs // BUCKET_DOCS), -(-n_tokens // BUCKET_TOKENS))
+    windows = stored(pieces.withColumn("bucket", F.pmod(F.xxhash64("place", "nth"), F.lit(buckets))), "windows")
     for _ in range(ROUNDS):
         rdd = windows.groupBy("bucket").applyInArrow(_trainer(counts, flat), "v binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.float64))
         total = rdd.treeAggregate(np.zeros(len(flat) + 2), lambda a, b: a + b, lambda a, b: a + b)
@@ -452,8 +452,8 @@ def _scorer(ranks: dict[bytes, int], counts: Counts, flat: np.ndarray, known: Kn
                 part = b.slice(row, n)
                 yield pa.record_batch({
                     "id": part.column("id"), "key": part.column("key"), "n_words": pa.array(w.counts().astype(np.int64)),
-                    "head_mixed": pa.array(np.bincount(of[rest], known.mixed(c[rest], own[rest]), n)), "head_known": pa.array(np.bincount(of[frequent], minlength=n).astype(np.int64)),
-                    "head_score": pa.array(np.bincount(of[frequent], np.log10((c[frequent] + 1) / (known.n + known.distinct + 1)), n)),
+                    "head_mixed": pa.array(np.bincount(of[rest], known.mixed(c[rest], own[rest]), n).astype(float)), "head_known": pa.array(np.bincount(of[frequent], minlength=n).astype(np.int64)),
+                    "head_score": pa.array(np.bincount(of[frequent], np.log10((c[frequent] + 1) / (known.n + known.distinct + 1)), n).astype(float)),  # without words bincount gives whole numbers
                     "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(distinct[word[tail]].view(np.int64))),
                     "tail_own": pa.ListArray.from_arrays(pa.array(ends), pa.array(own[tail]))})
 
@@ -479,7 +479,7 @@ def lm_scores(docs: DataFrame, ranks: dict[bytes, int], parts: int = 7, held: in
     n, v = size["n"] + n_docs, size["v"] + (n_docs > 0)
     floor = float(n + v + 1)
     counts = _counts(words, n_docs, ranks)
-    flat = _fit(train, n_docs, ranks, counts)
+    flat = _fit(train, n_docs, n, ranks, counts)
     # Frequent words by bands of counts, so that a bounded table of bands says which words to fetch: at most HEAD pairs of numbers.
     band = F.floor(F.log2("c") * 16)
     bands = sorted(((r["band"], r["n"]) for r in words.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()), reverse=True)

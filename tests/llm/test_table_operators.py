@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthline.llm import decontaminate, jaccard, language_model, line_dedup, mixing, substring_dedup
@@ -320,3 +321,16 @@ def test_language_model_weights_do_not_depend_on_the_split(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     a, b = ({r["id"]: r["score"] for r in language_model.lm_scores(docs.repartition(n), language_model.read_ranks()).collect()} for n in (1, 5))
     assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-3
+
+
+def test_language_model_learns_from_every_subword(spark):
+    ranks = language_model.read_ranks()
+    rows = [(1, " ".join(f"word{i % 37} b{i}" for i in range(1500)), 7), (2, "", 8), (3, "one two", 9)]
+    batch = pa.RecordBatch.from_pydict({"place": pa.array([r[2] for r in rows]), "text": [r[1] for r in rows]})
+    code = language_model.Subwords(ranks)
+    for place, text in ((r[2], r[1]) for r in rows):
+        want = [*code([w.encode() for w in text.split()])[0].tolist(), code.end]
+        pieces = [r for b in language_model._windows(ranks)(iter([batch])) for r in b.to_pylist() if r["place"] == place]
+        pieces.sort(key=lambda r: r["nth"])
+        assert [i for r in pieces for i in r["ids"][r["lead"]:]] == want
+        assert all(r["ids"][:r["lead"]] == before["ids"][-r["lead"]:] for before, r in zip(pieces, pieces[1:]))
