@@ -100,6 +100,26 @@ def test_jaccard_join_of_chains_and_crowds(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
+    """Also those of two texts that others have joined before; crowds of several blocks, chains, copies and small components."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WIDE", 50)
+    rng, rows = np.random.default_rng(9), list(ROWS)
+    for c in range(12):  # small components beside the crowd of ROWS
+        base = [f"c{c}w{i}" for i in range(60)]
+        for i in range(c % 5 + 2):
+            x = list(base)
+            x[int(rng.integers(60))] = f"e{i}"
+            rows.append((5_000 + 10 * c + i, " ".join(x)))
+    sets = {i: shingle_set(t) for i, t in enumerate(t for _, t in rows)}
+    distinct = [s for s in set(sets.values()) if s]
+    links = {s: sum(s != q and 100 * len(s & q) >= 75 * len(s | q) for q in distinct) for s in distinct}
+    want = sorted((NO_ID if i is None else i, links.get(shingle_set(t), 0)) for i, t in rows)
+    got = sorted((r["id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
+    assert got == want and max(links.values()) > 20
+
+
 def test_jaccard_join_of_empty_tables(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     assert {r["component_id"] for r in jaccard.near_duplicates(frame(spark, [(1, None), (2, ""), (3, None)])).collect()} == {1, 2, 3}
