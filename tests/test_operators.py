@@ -190,6 +190,16 @@ def test_near_duplicates_of_templated_texts_and_an_odd_leader(spark):
     assert got == _brute(rows)
 
 
+def test_near_duplicates_leave_no_shuffle_files_of_ended_jobs(spark):
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in
+                        spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, rng = files(), random.Random(3)
+    rows = [(i, " ".join(rng.sample([f"w{j}" for j in range(300)], 40))) for i in range(200)]
+    assert similar.near_duplicates(spark.createDataFrame(rows + [(999, rows[0][1])], "id long, t string"), "id", "t").where("is_duplicate").count() == 1
+    assert files() <= before + 16  # a join in flight; each of some ten jobs wrote as many
+
+
 def test_label_encode_of_many_labels(spark):
     df = spark.range(12_000).select(F.format_string("k%05d", F.col("id") % 11_000).alias("x"))
     codes = stats.label_encode(df, "x", "c")
