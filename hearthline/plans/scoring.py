@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearthline import constants as K
 from hearthline.functions import numbers, scores
 from hearthline.operators.features import serving_features
-from hearthline.plans.training import balanced
+from hearthline.plans.training import NODE_IDS, balanced
 
 
 def fit_serving_model(listings: DataFrame, key: str, target: str = "price", seed: int = 42, include_leaky: bool = False, **forest) -> PipelineModel:
@@ -20,7 +20,7 @@ def fit_serving_model(listings: DataFrame, key: str, target: str = "price", seed
     names = [c for c in K.SERVING_FEATURES if include_leaky or not c.startswith(leaky)]
     known = listings.withColumn("__target", F.col(target).cast("double")).where(F.col("__target").isNotNull())
     known = serving_features(balanced(known, key), keep=["__target"]).persist()
-    forest = {"numTrees": 50, "maxDepth": 10, **forest}
+    forest = {"numTrees": 50, "maxDepth": 10, **NODE_IDS, **forest}
     model = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
         RandomForestRegressor(labelCol="__target", featuresCol="features", seed=seed, **forest),

@@ -114,3 +114,11 @@ def test_texts_are_kept_as_vectors_only(spark, monkeypatch):
     models, prep, table = training.train_compare(rows, "id", ["land_area", "room_count"], ["decision_tree"], text="t", folds=2)
     assert seen and all(text is None and features[-1] == "text_vector" for features, text in seen)
     assert "prediction" in models["decision_tree"].transform(prep.apply(rows)).columns and table.count() == 1
+
+
+def test_forest_keeps_node_ids_and_grows_the_same_trees(spark, linear_rows):
+    rows = training.Preparation.fit(linear_rows, ["room_count", "land_area"]).apply(linear_rows).cache()
+    forest = training.estimators()["random_forest"].setParams(numTrees=4, maxDepth=5)
+    assert forest.getCacheNodeIds() and forest.getCheckpointInterval() > 10
+    grown = [training.pipeline(f, ["room_count", "land_area"]).fit(rows).stages[-1].toDebugString.split("\n", 1)[1] for f in (forest, forest.copy().setCacheNodeIds(False))]
+    assert grown[0] == grown[1]
