@@ -1,5 +1,7 @@
 """Model training and the prediction contract."""
 
+import threading
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -122,3 +124,9 @@ def test_forest_keeps_node_ids_and_grows_the_same_trees(spark, linear_rows):
     assert forest.getCacheNodeIds() and forest.getCheckpointInterval() > 10
     grown = [training.pipeline(f, ["room_count", "land_area"]).fit(rows).stages[-1].toDebugString.split("\n", 1)[1] for f in (forest, forest.copy().setCacheNodeIds(False))]
     assert grown[0] == grown[1]
+
+
+def test_fits_run_side_by_side_and_keep_their_order(spark):
+    meet = threading.Barrier(2, timeout=60)  # one after the other, the first would wait in vain
+    jobs = [lambda n=n: (meet.wait(), spark.range(n).count())[1] for n in (3, 5)]
+    assert [found for found, _ in training._side_by_side(spark, jobs)] == [3, 5] and training._side_by_side(spark, []) == []
