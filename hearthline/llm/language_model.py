@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.llm.classifier import fold
@@ -204,57 +205,147 @@ def _places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.repeat(first[:-1], many) + BLOCK * _ragged(np.zeros(len(n), np.int64), many), seq, first[:-1][seq], first[1:][seq]
 
 
-def _by_group(g: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """An order by group and where each group begins, so that a group's outputs are one product."""
-    return np.argsort(g.astype(np.uint8), kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(g, minlength=GROUPS)))).tolist()
-
-
-def train_step(theta: list[np.ndarray], counts: Counts, prev: np.ndarray, target: np.ndarray, opened: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss of the second blocks of windows, and its gradient. prev, target: (windows, 2 * BLOCK) rows and classes, -1 past
-    the end; opened: the windows whose first block is no text."""
-    e, wq, wk, wv, dist, ug, um = theta
-    x = e[prev]
-    q, k, v = x[:, BLOCK:] @ wq, x @ wk, x @ wv
-    s = q @ k.transpose(0, 2, 1) / np.sqrt(DIM) + dist[_DISTANCE]
-    s[:, _FUTURE] = -1e9
-    s[opened, :, :BLOCK] = -1e9
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = (x[:, BLOCK:] + a @ v).reshape(-1, DIM)
-    t, row = target[:, BLOCK:].ravel(), prev[:, BLOCK:].ravel()
-    real = t >= 0
-    n, t = max(1, int(real.sum())), np.maximum(t, 0)
-    g, m, all_ = t // MEMBERS, t % MEMBERS, np.arange(len(t))
-    order, cut = _by_group(g)
-    of = [(i, order[x:y]) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-    zg, zm = h @ ug + counts.group[row], counts.member[row, g].astype(float)
-    for i, at in of:
-        zm[at] += h[at] @ um[i]
-    loss = 0.0
-    for z, hit in ((zg, g), (zm, m)):  # each becomes its own gradient
+def _by_group(g: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and each group with its places in that order, so that a group's outputs are one product."""
+    cut = np.concatenate(([0], np.cumsum(np.bincount(g, minlength=GROUPS)))).tolist()
+    return np.argsort(g.astype(np.uint8), kind="stable"), [(i, x, y) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Sequences in blocks behind an empty one, so that every block has one before it."""
+
+    rows: np.ndarray  # before each place: blocks x BLOCK
+    classes: np.ndarray  # -1: no place of a sequence
+    opened: np.ndarray  # blocks that begin a sequence: they see nothing of the block before
+
+
+def _keep_memory() -> None:
+    """Once a block of this size was given back, malloc keeps smaller ones for the next step instead of asking the system for new pages."""
+    np.empty(30 << 20, np.uint8)
+
+
+def _blocks(counts: Counts, ids: np.ndarray, first: np.ndarray, lead: np.ndarray | None = None) -> Blocks:
+    """Blocks of all sequences; the first ``lead`` ids of a sequence are only context."""
+    at, seq, begin, end = _places(first)
+    inside = np.arange(BLOCK) < (end - at)[:, None]
+    rows = np.full((len(at) + 1, BLOCK), len(counts.group) - 1, np.int16)
+    classes = np.full((len(at) + 1, BLOCK), -1, np.int16)
+    row_of, class_of = counts.row_of.astype(np.int16), counts.class_of.astype(np.int16)
+    prev = np.empty(len(ids), np.int16)
+    prev[1:] = row_of[ids[:-1]]
+    prev[first[:-1][np.diff(first) > 0]] = len(counts.group) - 1
+    rows[1:][inside], classes[1:][inside] = prev, class_of[ids]
+    if lead is not None:
+        classes[1:][at - begin < lead[seq]] = -1
+    return Blocks(rows, classes, np.append(True, at == begin))
+
+
+# Columns of the table of each row's key, value, a one that sums up the attention, query and embedding.
+_K, _V, _Q, _E = slice(0, DIM), slice(DIM, 2 * DIM + 1), slice(2 * DIM + 1, 3 * DIM + 1), slice(3 * DIM + 1, 4 * DIM + 1)
+
+
+def _table(theta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Key, value, one, query and embedding of each row, and what distance adds to attention: it depends on nothing else."""
+    e, wq, wk, wv, dist = theta[:5]
+    return np.hstack([e @ wk, e @ wv, np.ones((len(e), 1)), e @ wq / np.sqrt(DIM), e]).astype(np.float32), np.where(_FUTURE, -1e9, dist[_DISTANCE]).astype(np.float32)
+
+
+def _attention(table: np.ndarray, near: np.ndarray, rows: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The table's columns of all blocks but the first and of each with the block before, the weights of attention and their sums
+    of values, the weights' own last."""
+    x = table.take(rows.ravel(), axis=0).reshape(len(rows), BLOCK, -1)
+    both = np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * BLOCK, x.shape[2]), x.strides, writeable=False)
+    a = x[1:, :, _Q] @ both[:, :, _K].transpose(0, 2, 1)
+    a += near
+    if opened.any():
+        a[opened, :, :BLOCK] = -1e9
+    if a.max() > 60 or np.einsum("bii->bi", a[:, :, BLOCK:]).min() < -60:  # far from what exp can't hold unless training went astray
+        a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
+    return x[1:], both, a, a @ both[:, :, _V]
+
+
+_ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of outputs, which may be moved by a constant each, and the sums."""
+    p = np.exp(z)
+    total = p @ _ONES[:z.shape[1]]
+    if not (total.max(initial=1) < 1e15 and total.min(initial=1) > 1e-15):  # far from what exp can't hold unless training went astray
         z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        loss -= float(np.log(z[all_, hit][real] + 1e-30).sum()) / n
-        z[all_, hit] -= 1
-        z *= real[:, None] / n
+        p = np.exp(z)
+        total = p @ _ONES[:z.shape[1]]
+    return p, total
+
+
+def _sum_by_row(rows: np.ndarray, g: np.ndarray, many: int) -> np.ndarray:
+    """Sums of ``g`` by row as a few products: rows are split in two digits, the first by sorting, the second by zeros and ones."""
+    low = 16
+    high = -(-many // low)
+    first = rows // low
+    order, cut = np.argsort(first.astype(np.uint8), kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(first, minlength=high)))).tolist()
+    hit = np.zeros((len(rows), low), np.float32)
+    hit[np.arange(len(rows)), (rows - first * low)[order]] = 1
+    g, out = g.take(order, axis=0), np.zeros((high, low, g.shape[1]), np.float32)
+    for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+        if y > x:
+            out[i] = hit[x:y].T @ g[x:y]
+    return out.reshape(high * low, -1)[:many]
+
+
+def train_step(theta: list[np.ndarray], counts: Counts, part: Blocks) -> tuple[float, np.ndarray]:
+    """Mean loss of all blocks but the first, which is only context, and its gradient."""
+    e, wq, wk, wv, _, ug, um = theta
+    ug, um = ug.astype(np.float32), um.astype(np.float32)
+    table, near = _table(theta)
+    x, both, a, o = _attention(table, near, part.rows, part.opened[1:])
+    per = 1 / o[:, :, DIM:]
+    o = o[:, :, :DIM] * per
+    t, row = part.classes[1:].ravel(), part.rows.ravel().astype(np.int64)
+    real = np.flatnonzero(t >= 0)
+    order, of = _by_group(t[real] // MEMBERS)
+    order = real[order]
+    n, all_, t, last = max(1, len(order)), np.arange(len(order)), t[order].astype(np.int64), row[BLOCK:][order]
+    g, m = t // MEMBERS, t % MEMBERS
+    h = (o + x[:, :, _E]).reshape(-1, DIM).take(order, axis=0)
+    zg, zm = h @ ug, counts.member.reshape(-1, MEMBERS).take(last * GROUPS + g, axis=0)
+    zg += counts.group.take(last, axis=0)
+    for i, y, z in of:
+        zm[y:z] += h[y:z] @ um[i]
+    loss = 0.0
+    (zg, sum_g), (zm, sum_m) = _exp(zg), _exp(zm)
+    for z, total, hit in ((zg, sum_g, g), (zm, sum_m, m)):  # each becomes its own gradient
+        loss -= float(np.log(z[all_, hit] / total + 1e-30).sum()) / n
+        z *= (1 / (total * n))[:, None]
+        z[all_, hit] -= 1 / n
     gug, gum = h.T @ zg, np.zeros_like(um)
     gh = zg @ ug.T
-    for i, at in of:
-        gum[i] = h[at].T @ zm[at]
-        gh[at] += zm[at] @ um[i].T
-    gh = gh.reshape(len(prev), BLOCK, DIM)
-    ga, gv = gh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ gh
-    gs = a * (ga - (ga * a).sum(2, keepdims=True))
-    gd = np.bincount(_DISTANCE.ravel(), gs.sum(0).ravel(), 2 * BLOCK)
-    gs /= np.sqrt(DIM)
-    gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-    gx = gk @ wk.T + gv @ wv.T
-    gx[:, BLOCK:] += gh + gq @ wq.T
-    ge = np.zeros_like(e)
-    np.add.at(ge, prev, gx)
-    flat, back = x.reshape(-1, DIM).T, x[:, BLOCK:].reshape(-1, DIM).T
-    parts = (ge, back @ gq.reshape(-1, DIM), flat @ gk.reshape(-1, DIM), flat @ gv.reshape(-1, DIM), gd, gug, gum)
+    for i, y, z in of:
+        gum[i] = h[y:z].T @ zm[y:z]
+        gh[y:z] += zm[y:z] @ um[i].T
+    # What each place hands on: to its key, value, query and embedding.
+    back = np.zeros((len(part.rows), BLOCK, 4 * DIM), np.float32)
+    whole = np.zeros((len(row) - BLOCK, DIM), np.float32)
+    whole[order] = gh
+    whole = whole.reshape(-1, BLOCK, DIM)
+    back[1:, :, 3 * DIM:] = whole
+    left = np.empty((*whole.shape[:2], DIM + 1), np.float32)
+    np.multiply(whole, per, out=left[:, :, :DIM])
+    left[:, :, DIM] = -((left[:, :, :DIM] * o).reshape(-1, DIM) @ _ONES[:DIM]).reshape(-1, BLOCK)
+    gs = left @ both[:, :, _V].transpose(0, 2, 1)
+    gs *= a
+    pair = np.empty((len(whole), 2 * BLOCK, 2 * DIM), np.float32)
+    np.matmul(gs.transpose(0, 2, 1), x[:, :, _Q], out=pair[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), left[:, :, :DIM], out=pair[:, :, DIM:])
+    back[1:, :, :2 * DIM] = pair[:, BLOCK:]
+    back[:-1, :, :2 * DIM] += pair[:, :BLOCK]
+    np.matmul(gs, both[:, :, _K], out=back[1:, :, 2 * DIM:3 * DIM])
+    gd = np.bincount(_DISTANCE.ravel(), np.ones(len(gs), np.float32) @ gs.reshape(len(gs), -1), 2 * BLOCK)
+    gk, gv, gq, ge = np.hsplit(_sum_by_row(row, back.reshape(-1, 4 * DIM), len(e)).astype(float), 4)
+    gq = gq / np.sqrt(DIM)
+    parts = (ge + gk @ wk.T + gv @ wv.T + gq @ wq.T, e.T @ gq, e.T @ gk, e.T @ gv, gd, gug, gum)
     return loss, np.concatenate([p.ravel() for p in parts])
 
 
@@ -295,36 +386,45 @@ def _encoded(words: WordIds, w: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return words.ids[_ragged(begin[word], n[word])], size[np.concatenate(([0], w.first[1:] + np.arange(1, len(w.first))))], size, distinct, word
 
 
-def _rows_before(counts: Counts, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    prev = np.empty(len(ids), np.int64)
-    prev[1:] = counts.row_of[ids[:-1]]
-    prev[first[:-1]] = len(counts.group) - 1
-    return prev
+def _bucket(counts: Counts, rows: pa.Table) -> Blocks:
+    """The blocks of a bucket's pieces by place and turn. Pieces are laid out as they come, a few at a time, so that none is copied to be sorted."""
+    many = -(-pc.list_value_length(rows["ids"]).to_numpy().astype(np.int64) // BLOCK)
+    order = np.lexsort((rows["nth"].to_numpy(), rows["place"].to_numpy()))
+    start = np.empty(len(many), np.int64)
+    start[order] = 1 + np.cumsum(many[order]) - many[order]
+    size, lead = 1 + int(many.sum()), rows["lead"].to_numpy()
+    all_ = Blocks(np.full((size, BLOCK), len(counts.group) - 1, np.int16), np.full((size, BLOCK), -1, np.int16), np.ones(size, bool))
+    done = 0
+    for chunk in rows["ids"].chunks:
+        for i in range(0, len(chunk), 1024):
+            part = chunk.slice(i, 1024)
+            first = part.offsets.to_numpy().astype(np.int64)
+            here = slice(done, done + len(part))
+            some = _blocks(counts, part.flatten().to_numpy(zero_copy_only=False), first - first[0], lead[here])
+            to = _ragged(start[here], many[here])
+            all_.rows[to], all_.classes[to], all_.opened[to] = some.rows[1:], some.classes[1:], some.opened[1:]
+            done += len(part)
+    return all_
 
 
 def _trainer(counts: Counts, flat: np.ndarray):
     """One pass of Adam over a bucket's windows; gives the number of steps, the weighted loss and the weights."""
 
     def train(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("place", "ascending"), ("nth", "ascending")])
-        pieces = rows["ids"].combine_chunks()
-        ids, first = pieces.values.to_numpy(zero_copy_only=False), pieces.offsets.to_numpy().astype(np.int64)
+        _keep_memory()
         now, m, v, step, lost = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0, 0.0
-        at, seq, begin, end = _places(first)
-        # A block that a piece only repeats as context isn't predicted.
-        own = np.flatnonzero(at - begin >= rows["lead"].to_numpy()[seq])
-        at, begin, end = at[own], begin[own], end[own]
-        prev_all = _rows_before(counts, ids, first)
-        for i in range(0, len(at), BATCH):
-            place = at[i:i + BATCH, None] - BLOCK + np.arange(2 * BLOCK)
-            inside = (place >= begin[i:i + BATCH, None]) & (place < end[i:i + BATCH, None])
-            place = np.where(inside, place, 0)
-            prev = np.where(inside, prev_all[place], len(counts.group) - 1)
-            target = np.where(inside, counts.class_of[ids[place]], -1)
-            loss, g = train_step(_unpack(now), counts, prev, target, at[i:i + BATCH] == begin[i:i + BATCH])
+        blocks = _bucket(counts, rows)
+        own = np.flatnonzero(blocks.classes[:, 0] >= 0)  # a block that a piece only repeats as context isn't predicted
+        for i in range(0, len(own), BATCH):
+            part = slice(own[i] - 1, own[min(i + BATCH, len(own)) - 1] + 1)
+            loss, g = train_step(_unpack(now), counts, Blocks(blocks.rows[part], blocks.classes[part], blocks.opened[part]))
             step, lost = step + 1, lost + loss
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            now = now - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            m += 0.1 * (g - m)
+            g *= g
+            v += 0.001 * (g - v)
+            g = np.sqrt(v / (1 - 0.999**step), out=g)
+            g += 1e-8
+            now -= RATE / (1 - 0.9**step) * m / g
         return pa.table({"v": pa.array([np.concatenate(([step, lost], now * step)).tobytes()], pa.binary())})
 
     return train
@@ -361,7 +461,8 @@ def _fit(train: DataFrame, n_docs: int, n_tokens: int, ranks: dict[bytes, int],
     buckets = max(1, -(-n_docs // BUCKET_DOCS), -(-n_tokens // BUCKET_TOKENS))
     windows = stored(pieces.withColumn("bucket", F.pmod(F.xxhash64("place", "nth"), F.lit(buckets))), "windows")
     for _ in range(ROUNDS):
-        rdd = windows.groupBy("bucket").applyInArrow(_trainer(counts, flat), "v binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.float64))
+        # Stored, so that the shuffle of the windows goes with its job; a row for each bucket.
+        rdd = stored(windows.groupBy("bucket").applyInArrow(_trainer(counts, flat), "v binary"), "weights").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.float64))
         total = rdd.treeAggregate(np.zeros(len(flat) + 2), lambda a, b: a + b, lambda a, b: a + b)
         if not total[0]:
             break
@@ -371,46 +472,28 @@ def _fit(train: DataFrame, n_docs: int, n_tokens: int, ranks: dict[bytes, int],
 
 def score_ids(theta: list[np.ndarray], counts: Counts, ids: np.ndarray, first: np.ndarray, at_once: int = 512) -> np.ndarray:
     """log10 probability of every id given those before it in its sequence, each scored once."""
-    e, wq, wk, wv, dist, ug, um = theta
-    q_of, k_of = ((e @ wq) / np.sqrt(DIM)).astype(np.float32), (e @ wk).astype(np.float32)
-    v_of = np.hstack([e @ wv, np.ones((len(e), 1))]).astype(np.float32)  # the last column sums up the attention
-    ug, um = ug.astype(np.float32), um.astype(np.float32)
+    e, ug, um = theta[0], *(u.astype(np.float32) for u in theta[5:])
+    table, near = _table(theta)
     group = (e @ ug + counts.group).astype(np.float32)
     member = (np.einsum("rd,gdm->rgm", e, um) + counts.member).astype(np.float32).reshape(-1, MEMBERS)
-    near = np.where(_FUTURE, -1e9, dist[_DISTANCE]).astype(np.float32)
-    prev, cls = _rows_before(counts, ids, first), counts.class_of[ids]
-    of_group, of_member = cls // MEMBERS, cls % MEMBERS
-    ones, inside = np.ones(GROUPS, np.float32), np.arange(BLOCK)
-    out = np.zeros(len(ids), np.float32)
-    at, _, begin, end = _places(first)
-    for i in range(0, len(at), at_once):
-        a, z = at[i:i + at_once], end[i:i + at_once]
-        row = prev[np.clip(a[:, None] - BLOCK + np.arange(2 * BLOCK), 0, len(ids) - 1)]
-        s = q_of[row[:, BLOCK:]] @ k_of[row].transpose(0, 2, 1)
-        s += near
-        s[a == begin[i:i + at_once], :, :BLOCK] = -1e9
-        if s.max() > 60:  # far from what exp can't hold unless training went astray
-            s -= s.max(2, keepdims=True)
-        h = np.exp(s, out=s) @ v_of[row]
-        real = inside < (z - a)[:, None]
-        mine, h = (a[:, None] + inside)[real], h[real]
+    blocks = _blocks(counts, ids, first)
+    out = np.zeros(blocks.rows[1:].shape, np.float32)
+    for i in range(1, len(blocks.rows), at_once):
+        rows, classes = blocks.rows[i - 1:i + at_once], blocks.classes[i:i + at_once].ravel()
+        h = _attention(table, near, rows, blocks.opened[i:i + at_once])[3].reshape(-1, DIM + 1)
+        real = np.flatnonzero(classes >= 0)
+        order, of = _by_group(classes[real] // MEMBERS)
+        order = real[order]
+        h, cls, last = h.take(order, axis=0), classes[order].astype(np.int64), rows[1:].ravel()[order].astype(np.int64)
         h = h[:, :DIM] / h[:, DIM:]
-        # A group's outputs are one product.
-        order, cut = _by_group(of_group[mine])
-        h, mine = h[order], mine[order]
-        last, g, m, all_ = prev[mine], of_group[mine], of_member[mine], np.arange(len(mine))
-        zg = h @ ug
-        zg += group[last]
-        zm = member[last * GROUPS + g]
-        for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+        g, m, all_ = cls // MEMBERS, cls % MEMBERS, np.arange(len(cls))
+        zg, zm = h @ ug, member.take(last * GROUPS + g, axis=0)
+        zg += group.take(last, axis=0)
+        for k, x, y in of:
             zm[x:y] += h[x:y] @ um[k]
-        if max(zg.max(initial=0), zm.max(initial=0)) > 40:
-            zg -= zg.max(1, keepdims=True)
-            zm -= zm.max(1, keepdims=True)
-        total = zg[all_, g] + zm[all_, m]
-        total -= np.log((np.exp(zg, out=zg) @ ones) * (np.exp(zm, out=zm) @ ones))
-        out[mine] = total
-    return out / np.log(10) + counts.share[ids].astype(float)
+        total = _exp(zg)[1] * _exp(zm)[1]  # before the outputs are read: it may move them
+        out[i - 1:i - 1 + at_once].reshape(-1)[order] = zg[all_, g] + zm[all_, m] - np.log(total)
+    return out[blocks.classes[1:] >= 0] / np.log(10) + counts.share[ids].astype(float)
 
 
 @dataclass(frozen=True)
@@ -434,6 +517,7 @@ class Known:
 def _scorer(ranks: dict[bytes, int], counts: Counts, flat: np.ndarray, known: Known):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hasher, theta = WordIds(Subwords(ranks)), Hasher(), _unpack(flat)
+        _keep_memory()
         for b in batches:
             for row, off, data in chunks(b.column("text"), _CHUNK):
                 w = Words(off, data, FOLDED)

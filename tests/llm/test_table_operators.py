@@ -354,3 +354,73 @@ def test_language_model_learns_from_every_subword(spark):
         pieces.sort(key=lambda r: r["nth"])
         assert [i for r in pieces for i in r["ids"][r["lead"]:]] == want
         assert all(r["ids"][:r["lead"]] == before["ids"][-r["lead"]:] for before, r in zip(pieces, pieces[1:]))
+
+
+def plain_step(theta, counts, prev, target, opened):
+    """Loss and gradient in double precision, window by window: prev, target are windows x 2 blocks."""
+    e, wq, wk, wv, dist, ug, um = theta
+    size, dim = language_model.BLOCK, language_model.DIM
+    i, j = np.arange(size)[:, None], np.arange(2 * size)[None]
+    distance = np.clip(i + size - j, 0, 2 * size - 1)
+    x = e[prev]
+    q, k, v = x[:, size:] @ wq, x @ wk, x @ wv
+    s = q @ k.transpose(0, 2, 1) / np.sqrt(dim) + dist[distance]
+    s[:, j - size > i] = -1e9
+    s[opened, :, :size] = -1e9
+    a = np.exp(s - s.max(2, keepdims=True))
+    a /= a.sum(2, keepdims=True)
+    h = (x[:, size:] + a @ v).reshape(-1, dim)
+    t, row = target[:, size:].ravel(), prev[:, size:].ravel()
+    real = t >= 0
+    n, t = real.sum(), np.maximum(t, 0)
+    g, m, every = t // language_model.MEMBERS, t % language_model.MEMBERS, np.arange(len(t))
+    zg, zm = h @ ug + counts.group[row], np.einsum("nd,ndm->nm", h, um[g]) + counts.member[row, g]
+    loss = 0.0
+    for z, hit in ((zg, g), (zm, m)):
+        np.exp(z - z.max(1, keepdims=True), out=z)
+        z /= z.sum(1, keepdims=True)
+        loss -= np.log(z[every, hit][real]).sum() / n
+        z[every, hit] -= 1
+        z *= real[:, None] / n
+    gum = np.zeros_like(um)
+    np.add.at(gum, g, h[:, :, None] * zm[:, None, :])
+    gh = (zg @ ug.T + np.einsum("nm,ndm->nd", zm, um[g])).reshape(len(prev), size, dim)
+    ga, gv = gh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ gh
+    gs = a * (ga - (ga * a).sum(2, keepdims=True))
+    gd = np.bincount(distance.ravel(), gs.sum(0).ravel(), 2 * size)
+    gs /= np.sqrt(dim)
+    gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
+    gx = gk @ wk.T + gv @ wv.T
+    gx[:, size:] += gh + gq @ wq.T
+    ge = np.zeros_like(e)
+    np.add.at(ge, prev, gx)
+    flat, own = x.reshape(-1, dim).T, x[:, size:].reshape(-1, dim).T
+    return loss, np.concatenate([p.ravel() for p in (ge, own @ gq.reshape(-1, dim), flat @ gk.reshape(-1, dim), flat @ gv.reshape(-1, dim), gd, h.T @ zg, gum)])
+
+
+def test_training_step_is_the_plain_gradient():
+    rng = np.random.default_rng(8)
+    size, rows = language_model.BLOCK, language_model.ROWS + language_model.GROUPS + 1
+    ids_n = 3_000
+    counts = language_model.Counts(rng.integers(0, language_model.CLASSES, ids_n), np.zeros(ids_n), np.arange(ids_n) % (rows - 1),
+                                   np.log(rng.dirichlet(np.ones(language_model.GROUPS), rows)).astype(np.float32),
+                                   np.log(rng.dirichlet(np.ones(language_model.MEMBERS), (rows, language_model.GROUPS))).astype(np.float32))
+    theta = language_model._unpack(language_model._start() + rng.normal(0, 0.2, len(language_model._start())))
+    n = np.concatenate([[1, size, size + 1, 5 * size - 3], rng.integers(1, 40 * size, 24)])
+    lead = np.where((np.arange(len(n)) % 2 == 1) & (n > size), size, 0)
+    first, ids = np.concatenate(([0], np.cumsum(n))), rng.integers(0, ids_n, n.sum())
+    blocks = language_model._blocks(counts, ids, first, lead)
+    own = np.flatnonzero(blocks.classes[:, 0] >= 0)
+    prev, target, opened = [], [], []
+    for x, y, skip in zip(first[:-1], first[1:], lead):  # the same windows, one by one
+        before = np.concatenate([[rows - 1], counts.row_of[ids[x:y - 1]]])
+        for at in range(skip, y - x, size):
+            p, t = np.full(2 * size, rows - 1), np.full(2 * size, -1)
+            begin, end = max(0, at - size), min(y - x, at + size)
+            p[begin - at + size:end - at + size], t[begin - at + size:end - at + size] = before[begin:end], counts.class_of[ids[x + begin:x + end]]
+            prev.append(p), target.append(t), opened.append(at == 0)
+    prev, target, opened = np.array(prev), np.array(target), np.array(opened)
+    assert len(own) == len(prev)
+    plain, got = plain_step(theta, counts, prev, target, opened), language_model.train_step(theta, counts, blocks)
+    assert got[0] == pytest.approx(plain[0], rel=1e-5)
+    assert np.abs(got[1] - plain[1]).max() < 1e-5 * np.abs(plain[1]).max()
