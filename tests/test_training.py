@@ -130,3 +130,12 @@ def test_fits_run_side_by_side_and_keep_their_order(spark):
     meet = threading.Barrier(2, timeout=60)  # one after the other, the first would wait in vain
     jobs = [lambda n=n: (meet.wait(), spark.range(n).count())[1] for n in (3, 5)]
     assert [found for found, _ in training._side_by_side(spark, jobs)] == [3, 5] and training._side_by_side(spark, []) == []
+
+
+def test_serving_features_are_computed_once(spark):
+    df = spark.range(60).select("id", (100000 + F.col("id") * 1000).cast("double").alias("price"), F.array(F.lit("villa luxe")).alias("description"))
+    rows = scoring.serving_rows(df, "id").persist()
+    model = scoring.fit_serving_rows(rows, "id", numTrees=2, maxDepth=2)
+    plain = scoring.predict(df, scoring.fit_serving_model(df, "id", numTrees=2, maxDepth=2), "id")
+    assert not any("description" in c and c != "description_length" and c != "description_word_count" for c in rows.columns)
+    assert scoring.predict_rows(rows, model, "id").exceptAll(plain).isEmpty() and plain.count() == 60
